@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import cut, table
-from . import encode, groups, heavy, pack, runs, seen, spans
+from . import encode, groups, heavy, pack, runs, seen, spans, subjects
 
 KEY = ["vec_hash_hi", "vec_hash_lo"]
 
@@ -92,7 +92,22 @@ def p7_unused(spark, d):
     return pack.fill_report(_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p2_found, p2_totals, p3_found, p3_collapsed, p4_found, p4_shared, p5_found, p6_ids, p6_round_trip, p7_containers, p7_unused)}
+def _subjects(spark, d):
+    return subjects.subjects_of(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "subject_labels").select("doc_id", "subject"), table(spark, d, "subject_areas"))
+
+
+def p8_found(spark, d):
+    """Subject areas of each document."""
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark, d):
+    """Documents by subject, with their mean share of sentences and posterior."""
+    F = groups.F
+    return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.avg(F.col("n_about") / F.col("n_content")).alias("mean_share"), F.avg("posterior").alias("mean_posterior"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p2_found, p2_totals, p3_found, p3_collapsed, p4_found, p4_shared, p5_found, p6_ids, p6_round_trip, p7_containers, p7_unused, p8_found, p8_composition)}
 
 ORACLES = {
     "p1_found": """
