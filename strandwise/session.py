@@ -11,7 +11,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -62,12 +63,40 @@ def cut(df: DataFrame) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written as a parquet table in the shared folder and read again.
 
-    Column pruning and predicate pushdown apply to every later read, which
-    makes this the form to use where a wide intermediate is read repeatedly.
+    Column pruning and predicate pushdown apply to every later read, and the
+    optimizer starts afresh: no statistics or constraints of earlier steps pile
+    up, which makes this the form for iterative plans.
     """
-    path = os.path.join(shared_dir(df.sparkSession), f"table-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).keep(df)
+
+
+class Scratch:
+    """Intermediate parquet tables in the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = shared_dir(spark)
+
+    def write(self, df: DataFrame) -> tuple[str, DataFrame]:
+        path = os.path.join(self.folder, f"table-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return self.write(df)[1]
+
+    def counted(self, df: DataFrame, condition: Column | None = None) -> tuple[str, DataFrame, int]:
+        """As :meth:`write`, with the number of rows (that meet ``condition``), counted as they are written."""
+        seen = Observation()
+        one = F.count(F.lit(1)) if condition is None else F.count(F.when(condition, 1))
+        path, table_ = self.write(df.observe(seen, one.alias("n")))
+        return path, table_, int((seen.get or {}).get("n") or 0)
+
+    def drop(self, path: str) -> None:
+        """Delete a table that nothing reads any more."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_width(spark: SparkSession, rows: int, rows_per_task: int) -> int:
