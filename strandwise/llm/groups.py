@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import lookup_join
-from ..session import cut
+from ..session import Scratch
 
 #: Index of a read that isn't set (the largest unsigned 32-bit number).
 UNSET = 4294967295
@@ -21,22 +21,25 @@ def links(tables: list[tuple[DataFrame, str, str]], unset: int = UNSET) -> DataF
     return every.distinct()
 
 
-def _collapse(nearest: DataFrame, rows: int, small: int) -> DataFrame:
+def _collapse(scratch: Scratch, nearest: DataFrame, rows: int, small: int) -> DataFrame:
     """Each component's root, by pointer doubling over ``(node, up)``.
 
     ``up`` is the smallest neighbour.  The smallest edge of a component is the one
     to its smallest neighbour, whichever end it is seen from, so the hooks hold no
     cycle but pairs that chose each other; the smaller of a pair becomes the root.
     """
-    above = nearest.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-    step = lookup_join(nearest, "up", above, "up", rows=rows, small=small)
-    # In a pair that chose each other, the smaller is its own root.
-    trees = cut(step.select("node", F.when(F.col("upper") == F.col("node"), F.least("node", "up")).otherwise(F.col("up")).alias("up")))
+
+    def above(trees: DataFrame) -> DataFrame:
+        return trees.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+
+    step = lookup_join(nearest, "up", above(nearest), "up", rows=rows, small=small)
+    path, trees = scratch.write(step.select("node", F.when(F.col("upper") == F.col("node"), F.least("node", "up")).otherwise(F.col("up")).alias("up")))
     while True:
-        above = trees.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        doubled = cut(lookup_join(trees, "up", above, "up", rows=rows, small=small).select("node", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved")))
-        trees = doubled.select("node", "up")
-        if doubled.where("moved").isEmpty():
+        doubled = lookup_join(trees, "up", above(trees), "up", rows=rows, small=small).select("node", F.col("upper").alias("up"), (F.col("upper") != F.col("up")).alias("moved"))
+        new_path, table, moved = scratch.counted(doubled, F.col("moved"))
+        scratch.drop(path)
+        path, trees = new_path, table.select("node", "up")
+        if not moved:
             return trees
 
 
@@ -44,45 +47,48 @@ def connected_groups(every: DataFrame, small: int = 200_000) -> DataFrame:
     """Group of each record named in the distinct links ``a, b``: ``node, group_id``.
 
     ``group_id`` is the smallest record of the group.  A record linked only with
-    itself is a group of its own.  An empty table gives no rows.
+    itself is a group of its own.  Links with a null end are dropped.  An empty
+    table gives no rows.
 
     A round lets every component hook onto its smallest neighbour, collapses the
     trees by pointer doubling, relabels the edges and drops duplicates and inner
     edges.  Components at least halve, so the rounds are logarithmic.  All tables
-    stay distributed, cut by checkpoints; hot records (a hub linked with a large
-    share of all) take the balanced path of :func:`lookup_join`.  ``small`` is the
-    number of rows up to which one plain join is planned; it has no effect on the
-    result.
+    stay distributed and are written between steps; hot records (a hub linked with
+    a large share of all) take the balanced path of :func:`lookup_join`.  ``small``
+    is the number of rows up to which one plain join is planned; it has no effect
+    on the result.
     """
     spark = every.sparkSession
-    every = cut(every.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
-    edges = every.where("a <> b")
-    rounds: list[DataFrame] = []
-    while True:
-        n_edges = edges.count()
-        if not n_edges:
-            break
+    scratch = Scratch(spark)
+    every = scratch.keep(every.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null"))
+    edges, path = every.where("a <> b"), None
+    n_edges = edges.count()
+    rounds: list[tuple[DataFrame, int]] = []
+    while n_edges:
         # Both directions, reduced to one row a node and task before the shuffle.
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("up")), F.struct(F.col("b").alias("node"), F.col("a").alias("up")))).alias("e")).select("e.*")
-        nearest = cut(ends.groupBy("node").agg(F.min("up").alias("up")))
-        roots = _collapse(nearest, 2 * n_edges, small)
-        rounds.append(roots)
-        left = lookup_join(edges, "a", roots.withColumnRenamed("up", "ra"), "node", rows=n_edges, small=small).select("ra", "b")
+        nearest_path, nearest, nodes = scratch.counted(ends.groupBy("node").agg(F.min("up").alias("up")))
+        roots = _collapse(scratch, nearest, nodes, small)
+        scratch.drop(nearest_path)
+        rounds.append((roots, nodes))
+        half_path, left = None, lookup_join(edges, "a", roots.withColumnRenamed("up", "ra"), "node", rows=n_edges, small=small).select("ra", "b")
         if n_edges > small:
-            left = cut(left)
+            half_path, left = scratch.write(left)
         both = lookup_join(left, "b", roots.withColumnRenamed("up", "rb"), "node", rows=n_edges, small=small)
-        edges = cut(both.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        new_path, edges, n_edges = scratch.counted(both.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        for old in (path, half_path):
+            if old:
+                scratch.drop(old)
+        path = new_path
     if not rounds:
-        labels = spark.createDataFrame([], "node long, up long")
+        labels, nodes = spark.createDataFrame([], "node long, up long"), 0
     else:
         # The last round's roots are final; each earlier round looks its roots up there.
-        labels = rounds[-1]
-        for earlier in reversed(rounds[:-1]):
-            n = earlier.count()
-            joined = lookup_join(earlier, "up", labels.withColumnRenamed("up", "final"), "node", how="left", rows=n, small=small)
-            labels = joined.select("node", F.coalesce("final", "up").alias("up"))
-            labels = cut(labels)
+        labels, nodes = rounds[-1]
+        for earlier, nodes in reversed(rounds[:-1]):
+            joined = lookup_join(earlier, "up", labels.withColumnRenamed("up", "final"), "node", how="left", rows=nodes, small=small)
+            labels = scratch.keep(joined.select("node", F.coalesce("final", "up").alias("up")))
     smallest = labels.groupBy("up").agg(F.min("node").alias("group_id"))
-    named = lookup_join(labels, "up", smallest, "up", small=small).select("node", "group_id")
+    named = lookup_join(labels, "up", smallest, "up", rows=nodes, small=small).select("node", "group_id")
     alone = every.where("a = b").select(F.col("a").alias("node")).join(labels.select("node"), "node", "left_anti").select("node", F.col("node").alias("group_id"))
     return named.unionByName(alone)
