@@ -244,3 +244,19 @@ def supported(nodes: DataFrame, solid: DataFrame, k: int) -> DataFrame:
     """Nodes all of whose ``k``-min-mers are solid."""
     parts = nodes.where(F.size("minimizers") >= k).select("node", F.explode(F.transform(F.sequence(F.lit(1), F.size("minimizers") - (k - 1)), lambda i: F.slice("minimizers", i, k))).alias("raw")).select("node", F.least("raw", F.reverse("raw")).alias("km"))
     return without(nodes, parts.join(solid.select("km"), "km", "left_anti").select("node").distinct())
+
+
+def ordered_ids(rows: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """Consecutive numbers from 0 in the order of ``order``, which should be total.
+
+    Rows are range-partitioned and sorted; each is numbered within its partition and
+    moved by what the partitions before hold, one number a partition.  No task sees
+    more than its own range.
+    """
+    scratch = Scratch(rows.sparkSession)
+    parted = scratch.keep(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    counts = parted.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_p").orderBy(*order)
+    numbered_ = parted.withColumn("_r", F.row_number().over(within) - 1)
+    return numbered_.join(before, "_p").select((F.col("_before") + F.col("_r")).cast("long").alias(name), *rows.columns)

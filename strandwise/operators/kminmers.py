@@ -56,3 +56,18 @@ def rescue(rows: DataFrame, solid_counts: DataFrame, most: int = 10, id_col: str
     good = median_abundance(found, id_col).where((F.col("median") <= most) & (F.col("largest") > 1)).select(id_col)
     missing = found.where("abundance = 1").join(good, id_col, "left_semi").select("km").distinct()
     return missing.join(solid_counts.select("km"), "km", "left_anti").select("km", F.lit(1).cast("long").alias("abundance"))
+
+
+def all_parts_solid(km: DataFrame, solid_counts: DataFrame, k_previous: int) -> DataFrame:
+    """Those of the k-min-mers whose parts of the k before are all solid."""
+    parts = sub_kminmers(km, k_previous)
+    missing = parts.join(solid_counts.select(F.col("km").alias("sub")), "sub", "left_anti").select("km")
+    return km.select("km").join(missing, "km", "left_anti")
+
+
+def spelled_paths(rows: DataFrame, id_col: str = "read_id") -> DataFrame:
+    """Minimizer sequence of a path of k-min-mers: the first whole, of the others the last element."""
+    whole = F.when(F.col("is_rev"), F.reverse("km")).otherwise(F.col("km"))
+    piece = F.struct("i", F.when(F.col("i") == 0, whole).otherwise(F.slice(whole, -1, 1)).alias("p"))
+    walked = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(piece)).alias("w"))
+    return walked.select(id_col, F.flatten(F.transform("w", lambda x: x["p"])).alias("minimizers"))

@@ -61,20 +61,21 @@ def best_mapping(mappings: DataFrame, query: str, order: list) -> DataFrame:
     return mappings.withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r")
 
 
-def jaccard_distance(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distances of sets in ``id, x`` form that share an element: ``a, b, shared, distance``.
+def jaccard_of_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distances of given pairs ``a, b`` of sets ``id, xs`` (distinct values).
 
-    Includes the plain distance and ``distance_early``, whose denominator stops
-    where either sorted list ends: elements after that aren't counted.
+    ``shared, distance``, and ``distance_early``, whose denominator stops where
+    either sorted list ends: elements after that aren't counted.  Pairs of which
+    one has no set are left out; two empty sets have null distances.
     """
-    sa = a.groupBy("id").agg(F.array_sort(F.collect_set("x")).alias("xs"))
-    sb = b.groupBy("id").agg(F.array_sort(F.collect_set("x")).alias("ys"))
-    pairs = a.select(F.col("id").alias("a"), "x").distinct().join(b.select(F.col("id").alias("b"), "x").distinct(), "x").where("a < b").select("a", "b").distinct()
-    both = pairs.join(sa.withColumnRenamed("id", "a"), "a").join(sb.withColumnRenamed("id", "b"), "b")
+    sa = sets.select(F.col("id").alias("a"), "xs")
+    sb = sets.select(F.col("id").alias("b"), F.col("xs").alias("ys"))
+    both = pairs.select("a", "b").distinct().join(sa, "a").join(sb, "b")
     stop = F.least(F.array_max("xs"), F.array_max("ys"))
     seen = F.array_union(F.filter("xs", lambda v: v <= stop), F.filter("ys", lambda v: v <= stop))
     shared = F.size(F.array_intersect("xs", "ys"))
-    return both.select("a", "b", shared.alias("shared"), (1 - shared / F.size(F.array_union("xs", "ys"))).alias("distance"), (1 - shared / F.size(seen)).alias("distance_early"))
+    share = lambda n: F.when(n > 0, 1 - shared / n)
+    return both.select("a", "b", shared.alias("shared"), share(F.size(F.array_union("xs", "ys"))).alias("distance"), share(F.size(seen)).alias("distance_early"))
 
 
 def with_lengths(matches: DataFrame, reads: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import read_queries  # noqa: F401
+from . import graph_queries, read_queries  # noqa: F401
 from .registry import REGISTRY
 
 QUERIES = REGISTRY.queries
