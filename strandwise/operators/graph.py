@@ -8,8 +8,11 @@ the last ``overlap`` minimizers of one are the first of the other.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,15 +88,78 @@ def _heads(scratch: Scratch, chain: DataFrame) -> DataFrame:
     return lines.unionByName(_heads(scratch, opened).withColumn("circular", F.lit(True)))
 
 
-def compact(nodes: DataFrame, overlap: int) -> DataFrame:
+def _walk(overlap: int):
+    """The distributed compaction's result for a graph that one task holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths: dict[int, list[int]] = {}
+        weights: dict[int, list[int]] = {}
+        for b in batches:
+            for node, m, a in zip(*(b.column(i).to_pylist() for i in range(3))):
+                paths[2 * node], weights[2 * node] = m, a
+                if m != m[::-1]:
+                    paths[2 * node + 1], weights[2 * node + 1] = m[::-1], a[::-1]
+        starts = defaultdict(list)
+        for c, m in paths.items():
+            starts[tuple(m[:overlap])].append(c)
+        after, into = {}, Counter()
+        for c, m in paths.items():
+            found = [v for v in starts.get(tuple(m[-overlap:]), ()) if v != c ^ 1]
+            into.update(found)
+            if len(found) == 1:
+                after[c] = found[0]
+        link = {u: v for u, v in after.items() if into[v] == 1 and u != v}
+        behind = {v: u for u, v in link.items()}
+        ways, seen = [], set()
+        for head in [c for c in paths if c not in behind] + sorted(behind):
+            if head in seen:
+                continue
+            # Heads come first; what is left then lies on cycles, opened at their smallest node.
+            way, c = [], head
+            while c is not None and c not in seen:
+                seen.add(c)
+                way.append(c)
+                c = link.get(c)
+            ways.append((way, head in behind))
+        best: dict = {}
+        for way, circular in ways:
+            m, a = list(paths[way[0]]), list(weights[way[0]])
+            for c in way[1:]:
+                m += paths[c][overlap:]
+                a += weights[c]
+            key = (tuple(sorted(m[: len(m) - overlap])) if circular else min(tuple(m), tuple(m[::-1])), circular)
+            if key not in best or (m, way[0]) < (best[key][0], best[key][2]):
+                best[key] = (m, a, way[0])
+        rows = [(m, a, circular) for (_, circular), (m, a, _) in best.items()]
+        m, a, c = list(zip(*rows)) or ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(list(m), pa.list_(pa.int64())), pa.array(list(a), pa.list_(pa.int64())), pa.array(list(c), pa.bool_())], names=["minimizers", "abundances", "circular"])
+
+    return run
+
+
+def _unitig_rows(scratch: Scratch, paths: DataFrame) -> DataFrame:
+    return scratch.keep(paths.select(F.monotonically_increasing_id().alias("node"), "minimizers", "abundances", F.greatest(median(F.col("abundances")), F.lit(1.0)).alias("abundance"), "circular"))
+
+
+#: Nodes up to which a graph is compacted in one task.
+ONE_TASK = 100_000
+
+
+def compact(nodes: DataFrame, overlap: int, one_task: int = ONE_TASK) -> DataFrame:
     """Merge all unbranched paths: ``node, minimizers, abundances, abundance, circular``.
 
     Both orientations of a path give one unitig, the one whose minimizers are the
     smaller array.  A cycle is opened at its smallest node.  ``abundance`` is the
     median of the k-min-mers' abundances, 1 at least.  No nodes give no unitigs.
+
+    Graphs of more than ``one_task`` nodes are compacted by pointer doubling, in
+    rounds of joins; smaller ones are walked in one task, which spares the rounds.
+    The result is the same.
     """
     scratch = Scratch(nodes.sparkSession)
-    nodes = scratch.keep(nodes.select("node", "minimizers", "abundances"))
+    _, nodes, size = scratch.counted(nodes.select("node", "minimizers", "abundances"))
+    if size <= one_task:
+        return _unitig_rows(scratch, nodes.coalesce(1).mapInArrow(_walk(overlap), "minimizers array<bigint>, abundances array<bigint>, circular boolean"))
     ways = both_ways(nodes)
     links = unbranched(oriented_edges(nodes, overlap))
     coded = ways.select(_code("node", "rev").alias("c"))
@@ -109,10 +175,10 @@ def compact(nodes: DataFrame, overlap: int) -> DataFrame:
     walked = oriented.groupBy("head").agg(F.array_sort(F.collect_list(piece)).alias("w"), F.max("circular").alias("circular"))
     whole = walked.select("head", "circular", F.flatten(F.transform("w", lambda x: x["p"])).alias("minimizers"), F.flatten(F.transform("w", lambda x: x["abundances"])).alias("abundances"))
     # A path and its mirror: the smaller array stands for both.
-    canonical = whole.withColumn("key", F.when(F.col("circular"), F.array_sort("minimizers")).otherwise(F.least("minimizers", F.reverse("minimizers"))))
+    canonical = whole.withColumn("key", F.when(F.col("circular"), F.array_sort(F.slice("minimizers", F.lit(1), F.size("minimizers") - overlap))).otherwise(F.least("minimizers", F.reverse("minimizers"))))
     first = Window.partitionBy("key", "circular").orderBy("minimizers", "head")
     one = canonical.withColumn("r", F.row_number().over(first)).where("r = 1")
-    return scratch.keep(one.select(F.monotonically_increasing_id().alias("node"), "minimizers", "abundances", F.greatest(median(F.col("abundances")), F.lit(1.0)).alias("abundance"), "circular"))
+    return _unitig_rows(scratch, one)
 
 
 def median(a: Column) -> Column:

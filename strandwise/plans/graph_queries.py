@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import seq, stats
-from ..operators import graph, intervals, minimize, overlaps
+from ..operators import align, graph, intervals, minimize, overlaps
 from ..operators import kminmers as km
 from ..session import materialize, table
 from ..sources import fastx, gfa
+from . import assembly
 from .read_queries import TOP, mreads_of, rows_of
 from .registry import query
-from .sql import K, MINIMIZERS, MREADS, READ_KMINMERS, SOLID, kminmers
+from .sql import DENSITY, K, LENGTH, MINIMIZERS, MREADS, READ_KMINMERS, SOLID, kminmers
 
 #: Reads from this length on stand for contigs in queries that map reads to contigs.
 CONTIG = 1500
@@ -388,3 +389,95 @@ def bfs_neighbors(spark, d):
     e = table(spark, d, "read_match").where("ref_read_index is not null and read_index is not null and ref_read_index <> 4294967295 and read_index <> 4294967295").select(F.col("ref_read_index").alias("src"), F.col("read_index").alias("dst"))
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return graph.neighbourhood(both, both.agg(F.min("src").alias("node")), 3)
+
+
+def _nodes(spark, d):
+    return graph.numbered(km.solid(km.kminmer_counts(rows_of(spark, d))))
+
+
+@query()
+def unitigs(spark, d):
+    """Maximal unbranched paths of the solid graph."""
+    return graph.compact(_nodes(spark, d), K - 1).select("minimizers", "abundance", "circular")
+
+
+@query()
+def unitig_edges(spark, d):
+    """Oriented edges between unitigs, named by their minimizers."""
+    u = graph.compact(_nodes(spark, d), K - 1).select(F.col("minimizers").alias("node"), "minimizers")
+    return graph.oriented_edges(u, K - 1)
+
+
+@query()
+def tips(spark, d):
+    """Unitigs that one round of tip clipping removes."""
+    u = graph.compact(_nodes(spark, d), K - 1)
+    gone = graph.tips(u, graph.oriented_edges(u, K - 1), 50)
+    return u.join(gone, "node", "left_semi").select("minimizers", "abundance")
+
+
+@query()
+def simple_bubbles(spark, d):
+    """Unitigs that one round of bubble popping removes."""
+    u = graph.compact(_nodes(spark, d), K - 1)
+    gone = graph.simple_bubbles(u, graph.oriented_edges(u, K - 1), 50)
+    return u.join(gone, "node", "left_semi").select("minimizers", "abundance")
+
+
+@query()
+def abundance_cutoffs(spark, d):
+    """Snapshots of the graph as its weakest nodes are removed."""
+    return graph.progressive(_nodes(spark, d), K - 1, 50).select("cutoff", "minimizers", "abundance", "circular")
+
+
+@query()
+def select_contigs(spark, d):
+    """Contigs chosen from the snapshots."""
+    shots = materialize(graph.progressive(_nodes(spark, d), K - 1, 50))
+    return graph.select_contigs(shots, K).select("cutoff", "minimizers", "abundance", "circular")
+
+
+@query()
+def refine(spark, d):
+    """Abundances of the solid k-min-mers after a pass."""
+    solid = materialize(km.solid(km.kminmer_counts(rows_of(spark, d))))
+    shots = materialize(graph.progressive(graph.numbered(solid), K - 1, 50))
+    return assembly.refined(solid, graph.select_contigs(shots, K), K)
+
+
+@query()
+def next_k_graph(spark, d):
+    """Unitigs of the next k, counted over reads and the contigs before."""
+    p = assembly.Parameters(density=DENSITY, compress=False, platform="hifi")
+    m = mreads_of(spark, d).select("read_id", "minimizers")
+    solid, _, contigs = assembly.one_pass(m, K, p)
+    more = m.unionByName(contigs.select(F.xxhash64("contig", F.lit("c")).alias("read_id"), "minimizers"))
+    return assembly.one_pass(more, K + 1, p, solid)[1].select("minimizers", "abundance", "circular")
+
+
+@query()
+def chain_anchors(spark, d):
+    """Best chains between all reads and the long reads."""
+    return align.chain_anchors(read_contig_anchors(spark, d), 3)
+
+
+@query()
+def correct_reads(spark, d):
+    """Reads corrected from the reads that overlap them."""
+    m = materialize(mreads_of(spark, d))
+    return align.corrected_reads(m, assembly.find_neighbours(m))
+
+
+@query()
+def assemble(spark, d):
+    """Contigs of the whole read set."""
+    p = assembly.Parameters(density=DENSITY, compress=False, platform="hifi", min_contig_coverage=0)
+    return assembly.assemble(table(spark, d, "reads").select("read_id", "seq", "qual"), p, most_k=K + 1)
+
+
+@query()
+def gfa_final(spark, d):
+    """The graph of unitigs as GFA lines, with lengths and depths."""
+    u = graph.compact(_nodes(spark, d), K - 1)
+    segments, links = assembly.graph_tables(u, K, DENSITY, LENGTH)
+    return gfa.segment_lines(segments).unionByName(gfa.link_lines(links))
