@@ -32,6 +32,10 @@ LABELLED = 200_000
 NEITHER = 3.0
 #: The same for furniture, whose lines are short.
 FURNITURE = 1.0
+#: A document counts as so many sentences at most, so that no single one rules the model.
+DOCUMENT_WEIGHT = 50
+#: Weight of documents labelled with several subjects in the first counts.
+SEVERAL = 0.1
 #: Share of a subject in a document before any of its sentences is read, and the most that context adds or takes, in nats.
 BASE_SHARE, CONTEXT = 0.1, 3.0
 #: Added to the scores of a labelled document's subjects, and taken from what its labels rule out.
@@ -224,11 +228,15 @@ def _count(subjects: int, model):
             length = np.diff(np.append(start, len(flat)))
             if model is None:
                 y = np.where(((label >= 0) & (fold != 0))[:, None], _label_matrix(label, subjects), 0)
+                # Which sentences of a document of several subjects deal with which isn't known yet.
+                y[(y > 0).sum(1) > 1] *= SEVERAL
                 shares = np.concatenate([y[row], np.zeros((len(row), 1))], 1)
                 pairs = np.unique(np.repeat(row, length).astype(np.int64) * VOCABULARY + flat)
                 documents += np.bincount(pairs % VOCABULARY, minlength=VOCABULARY)
             else:
                 shares = _soft(model.value.scores(flat, start), label, fold, row, subjects)
+            sentences = np.bincount(row, minlength=b.num_rows)
+            shares = shares * np.minimum(1, DOCUMENT_WEIGHT / np.maximum(sentences, 1))[row][:, None]
             for c in range(classes):
                 w = shares[:, c]
                 if w.any():
