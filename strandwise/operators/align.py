@@ -319,7 +319,7 @@ def best_disjoint(spans: list[tuple[int, int, float]], slack: int = 0) -> list[i
 
 
 def coverage_bounded(spans: list[tuple[int, int, float]], depth: int = 10) -> list[int]:
-    """Drop worst spans first as long as every position they cover keeps more than ``depth``."""
+    """Drop worst spans first as long as every position they cover keeps ``depth`` or more."""
     if not spans:
         return []
     cover = np.zeros(max(b for _, b, _ in spans) + 1, int)
