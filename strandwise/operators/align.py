@@ -246,13 +246,13 @@ def cigar_matches(cigar: str) -> int:
     return sum(n for n, op in cigar_ops(cigar) if op in "=M")
 
 
-def consensus(backbone: str, pieces: list[tuple[str, str]]) -> str:
+def consensus(backbone: str, pieces: list[tuple[str, str]], trim: bool = True) -> str:
     """Consensus of a window from pieces ``(letters, quality or '')``.
 
     Every piece is aligned with the backbone; each column takes the letter, or gap,
     of most quality, and an insertion is taken where most of the pieces have it.
-    The backbone only decides ties.  Ends that fewer than half the pieces cover are
-    cut, unless that leaves less than four fifths of the window.
+    The backbone only decides ties.  With ``trim``, ends that fewer than half the
+    pieces cover are cut, unless that leaves less than four fifths of the window.
     """
     if not pieces:
         return backbone
@@ -263,8 +263,12 @@ def consensus(backbone: str, pieces: list[tuple[str, str]]) -> str:
     for letters, quality in pieces:
         i = j = 0
         weight = lambda at: max(1, ord(quality[at]) - 33) if at < len(quality) else 1  # noqa: B023, E731
-        for length, op in cigar_ops(edit_path(backbone, letters)):
-            if op in "=X":
+        ops = cigar_ops(edit_path(backbone, letters))
+        for place, (length, op) in enumerate(ops):
+            if op == "D" and place in (0, len(ops) - 1):
+                # The piece doesn't reach so far.
+                i += length
+            elif op in "=X":
                 for k in range(length):
                     votes[i + k][letters[j + k]] += weight(j + k)
                 depth[i : i + length] += 1
@@ -283,12 +287,12 @@ def consensus(backbone: str, pieces: list[tuple[str, str]]) -> str:
         letter = max(votes[i].items(), key=lambda x: (x[1], x[0] == backbone[i], x[0]))[0] if votes[i] else backbone[i]
         out.append((extra[0] if extra[1] * 2 > sum(votes[i].values()) else "") + letter)
     covered = np.flatnonzero(depth >= len(pieces) / 2)
-    if len(covered) and covered[-1] - covered[0] + 1 > 0.8 * n:
+    if trim and len(covered) and covered[-1] - covered[0] + 1 > 0.8 * n:
         return "".join(out[covered[0] : covered[-1] + 1])
     return "".join(out)
 
 
-def window_consensus(windows: DataFrame, most: int = 100) -> DataFrame:
+def window_consensus(windows: DataFrame, most: int = 100, trim: bool = True) -> DataFrame:
     """``contig_id, w, seq``: each window's consensus from its ``most`` best pieces.
 
     ``windows``: ``contig_id, w, backbone, seq, qual, score``; ties by content.
@@ -302,7 +306,7 @@ def window_consensus(windows: DataFrame, most: int = 100) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [consensus(base, [(x["seq"], x["qual"] or "") for x in p]) for base, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            done = [consensus(base, [(x["seq"], x["qual"] or "") for x in p], trim) for base, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(done, pa.string())], names=["contig_id", "w", "seq"])
 
     return rows.select(F.col("contig_id").cast("long").alias("contig_id"), F.col("w").cast("int").alias("w"), "backbone", "p").mapInArrow(run, "contig_id long, w int, seq string")

@@ -9,28 +9,31 @@ from ..functions import seq
 
 
 def pair_rows(mreads: DataFrame, id_col: str = "read_id") -> DataFrame:
-    """``id, i, pos, a, b, is_rev``: consecutive minimizers as a normalised pair."""
+    """``id, i, pos, next_pos, a, b, is_rev``: consecutive minimizers as a normalised pair."""
     m = F.col("minimizers")
     n = F.size(m)
     at = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
     rows = mreads.select(id_col, m, F.col("pos").alias("_pos"), F.explode(at).alias("i"))
     x, y = F.element_at("minimizers", F.col("i")), F.element_at("minimizers", F.col("i") + 1)
-    return rows.select(id_col, (F.col("i") - 1).alias("i"), F.element_at("_pos", F.col("i")).alias("pos"), F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (x >= y).alias("is_rev"))
+    return rows.select(id_col, (F.col("i") - 1).alias("i"), F.element_at("_pos", F.col("i")).alias("pos"), F.element_at("_pos", F.col("i") + 1).alias("next_pos"), F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (x >= y).alias("is_rev"))
 
 
 def anchors(queries: DataFrame, references: DataFrame, query_id: str = "read_id", reference_id: str = "read_id", exclude_self: bool = False) -> DataFrame:
     """Pairs of positions at which query and reference have the same minimizer pair.
 
-    ``query, reference, q_i, r_i, q_pos, r_pos, same_strand``.  A shuffled equi
+    ``query, reference, q_i, r_i, q_pos, r_pos, same_strand``; on the other strand
+    ``q_pos`` is where the query has the pair's later minimizer, which is the one at
+    ``r_pos`` (so that every anchor joins one minimizer to itself).  A shuffled equi
     join on the pair; drop repetitive minimizers first, as the reference aligners
     do, or a repeat's matches grow with its square.
     """
-    q = queries.select(F.col(query_id).alias("query"), F.col("i").alias("q_i"), F.col("pos").alias("q_pos"), F.col("is_rev").alias("q_rev"), "a", "b")
+    q = queries.select(F.col(query_id).alias("query"), F.col("i").alias("q_i"), F.col("pos").alias("q_pos"), F.col("next_pos").alias("q_next"), F.col("is_rev").alias("q_rev"), "a", "b")
     r = references.select(F.col(reference_id).alias("reference"), F.col("i").alias("r_i"), F.col("pos").alias("r_pos"), F.col("is_rev").alias("r_rev"), "a", "b")
     joined = q.join(r, ["a", "b"])
     if exclude_self:
         joined = joined.where("query <> reference")
-    return joined.select("query", "reference", "q_i", "r_i", "q_pos", "r_pos", (F.col("q_rev") == F.col("r_rev")).alias("same_strand"))
+    same = F.col("q_rev") == F.col("r_rev")
+    return joined.select("query", "reference", "q_i", "r_i", F.when(same, F.col("q_pos")).otherwise(F.col("q_next")).alias("q_pos"), "r_pos", same.alias("same_strand"))
 
 
 def shared_kminmers(a: DataFrame, b: DataFrame, lengths_a: DataFrame | None = None, lengths_b: DataFrame | None = None) -> DataFrame:

@@ -149,7 +149,7 @@ def bridging_reads(spark, d):
 
 
 PAIRS = f"""{MREADS}, {TOP}, fl as (select read_id, list(v order by pos) ms, list(pos order by pos) ps from mz where v not in (select v from top) group by read_id),
-    pr as (select read_id, i::INT i, ps[i + 1]::INT pos, least(ms[i + 1], ms[i + 2]) a, greatest(ms[i + 1], ms[i + 2]) b, ms[i + 1] >= ms[i + 2] rev from (select *, unnest(range(0, len(ms) - 1)) i from fl))"""
+    pr as (select read_id, i::INT i, ps[i + 1]::INT pos, ps[i + 2]::INT npos, least(ms[i + 1], ms[i + 2]) a, greatest(ms[i + 1], ms[i + 2]) b, ms[i + 1] >= ms[i + 2] rev from (select *, unnest(range(0, len(ms) - 1)) i from fl))"""
 
 
 def pairs_of(spark, d):
@@ -169,7 +169,7 @@ def pair_selfjoin(spark, d):
     return found.where("anchors >= 3")
 
 
-@query(f"with {PAIRS}, {contigs_sql()} select p.read_id as query, q.read_id as reference, p.i as q_i, q.i as r_i, p.pos as q_pos, q.pos as r_pos, p.rev = q.rev as same_strand from pr p join pr q using (a, b) where q.read_id in (select read_id from lg) and p.read_id <> q.read_id")
+@query(f"with {PAIRS}, {contigs_sql()} select p.read_id as query, q.read_id as reference, p.i as q_i, q.i as r_i, case when p.rev = q.rev then p.pos else p.npos end as q_pos, q.pos as r_pos, p.rev = q.rev as same_strand from pr p join pr q using (a, b) where q.read_id in (select read_id from lg) and p.read_id <> q.read_id")
 def read_contig_anchors(spark, d):
     """Anchors of all reads on the long reads."""
     p = pairs_of(spark, d)
