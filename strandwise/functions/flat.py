@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def flat_letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -33,6 +36,19 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, letters: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``letters`` letters (a row at least), which stay in the processor's cache."""
+    for b in batches:
+        if not b.num_rows:
+            yield b
+            continue
+        lengths = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(lengths) // letters
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), b.num_rows]
+        for start, stop in zip(cuts, cuts[1:]):
+            yield b.slice(start, stop - start)
+
+
 def _upper_table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[ord("a") : ord("z") + 1] -= 32

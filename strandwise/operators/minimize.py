@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.flat import BASE, UPPER, flat_letters, rows_of
+from ..functions.flat import BASE, UPPER, flat_letters, rows_of, slices
 
 MREADS = "read_id long, minimizers array<bigint>, pos array<int>, dir array<tinyint>, qual array<tinyint>, mean_q double, read_len int"
 #: Alphabetical base number to the number with which k-mers are compared (A 0, C 1, T 2, G 3).
@@ -41,16 +41,29 @@ def density_bound(density: float) -> float:
 
 
 def packed_kmers(codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and reverse-complement value of each window of two-bit codes."""
+    """Forward and reverse-complement value of each window of two-bit codes.
+
+    Windows of doubled width are put together from two halves, so that a window
+    takes as many steps as its length has binary digits.
+    """
     n = len(codes) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    forward, backward = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for i in range(length):
-        part = codes[i : i + n]
-        forward = (forward << _U(2)) | part
-        backward |= (part ^ _U(2)) << _U(2 * i)
-    return forward, backward
+
+    def join(left: tuple, w: int, right: tuple, v: int) -> tuple:
+        m = len(left[0]) - v
+        f, g = left[0][:m] << _U(2 * v), right[1][w : w + m] << _U(2 * w)
+        f |= right[0][w : w + m]
+        g |= left[1][:m]
+        return f, g
+
+    power, width, packed, have = (codes, codes ^ _U(2)), 1, None, 0
+    while True:
+        if length & width:
+            packed, have = (power, width) if packed is None else (join(packed, have, power, width), have + width)
+        if have == length:
+            return packed[0][:n], packed[1][:n]
+        power, width = join(power, width, power, width), 2 * width
 
 
 def _compress(letters: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +80,7 @@ def _select(length: int, density: float, compress: bool, repetitive: np.ndarray,
     errors = 10.0 ** (-(np.arange(256) - 33) / 10.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             raw, whole = flat_letters(b.column(1))
             letters, offsets, place = UPPER[raw], whole, None
             if compress:
@@ -132,7 +145,7 @@ def minimizer_reads(reads: DataFrame, length: int = 15, density: float = 0.005,
 
 def _kmer_values(length: int, canonical: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             letters, offsets = flat_letters(b.column(1))
             base = BASE[letters]
             forward, backward = packed_kmers(_CODE[base], length)
@@ -199,7 +212,7 @@ def mean_qualities(reads: DataFrame) -> DataFrame:
 
 def _complexity(window: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             letters, offsets = flat_letters(b.column(1))
             base = BASE[letters].astype(np.int64)
             n = max(0, len(base) - 2)
