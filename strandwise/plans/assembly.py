@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,10 @@ class Parameters:
         return int(max(bp * self.density, 2.25 * k))
 
 
+#: First k whose contigs are set aside where they are too short for the next.
+SMALL_K = 8
+
+
 def find_neighbours(mreads: DataFrame, most: int = 20, least: int = 3) -> DataFrame:
     """``read_id, other``: for each read those among the ``most`` best at any of its minimizers.
 
@@ -95,15 +100,17 @@ def counted(sequences: DataFrame, k: int, p: Parameters, previous: DataFrame | N
     """Solid k-min-mers of a pass, with rescue where no least abundance is asked for.
 
     From the second pass on the abundance is that of the k-min-mers before, so that
-    what earlier passes settled isn't counted anew.
+    what earlier passes settled isn't counted anew: every k-min-mer of reads and
+    contigs is solid whose parts both are, however often it occurs itself.
     """
-    rows = materialize(km.kminmer_rows(sequences, k))
+    rows = km.kminmer_rows(sequences, k)
+    if previous is not None:
+        return materialize(km.refined_abundance(rows.select("km").distinct(), previous, k - 1).where("abundance > 1"))
+    rows = materialize(rows)
     counts = km.kminmer_counts(rows)
     solid = materialize(km.solid(counts, max(2, p.min_abundance)))
     if p.min_abundance <= 1:
         solid = solid.unionByName(km.rescue(rows, solid))
-    if previous is not None:
-        solid = km.refined_abundance(solid.select("km"), previous, k - 1)
     return materialize(solid)
 
 
@@ -128,27 +135,43 @@ def one_pass(sequences: DataFrame, k: int, p: Parameters, previous: DataFrame |
     return materialize(refined(solid, contigs, k)), shots.where("cutoff = 0"), contigs
 
 
+def with_small(contigs: DataFrame, small: DataFrame, k: int) -> DataFrame:
+    """Contigs together with those of ``small`` of whose k-min-mers no longer one has all on one strand."""
+    small = materialize(small)
+    both = contigs.unionByName(small)
+    rows = km.kminmer_rows(both, k, "contig").join(both.select("contig", F.size("minimizers").alias("n")), "contig")
+    a = rows.join(small.select("contig"), "contig", "left_semi").select(F.col("contig").alias("a"), "i", "km", F.col("is_rev").alias("ra"), F.col("n").alias("na"))
+    b = rows.select(F.col("contig").alias("b"), "km", F.col("is_rev").alias("rb"), F.col("n").alias("nb"))
+    hits = a.join(b, "km").where("nb > na").groupBy("a", "b", (F.col("ra") == F.col("rb")).alias("same"), "na").agg(F.countDistinct("i").alias("hit"))
+    held = hits.where(F.col("hit") == F.col("na") - (k - 1)).select(F.col("a").alias("contig")).distinct()
+    return contigs.unionByName(small.join(held, "contig", "left_anti"))
+
+
 def multi_k(reads: DataFrame, p: Parameters, most: int | None = None) -> tuple[int, DataFrame, DataFrame]:
     """The passes of growing k: the last k, its graph and contigs.
 
     Each pass counts the reads together with the unitigs of the pass before, so
     what a smaller k joined survives where reads are too short for the larger one.
+    Contigs too short for the next k are set aside and come back at the end.
     A pass whose graph is empty ends the loop.
     """
     base = prepared_reads(reads, p).select("minimizers")
     last = k_limit(reads, p) if most is None else most
-    sequences, previous, result = base, None, None
+    sequences, previous, result, small, short = base, None, None, [], None
     for k in range(p.first_k, last + 1):
         keyed = sequences.select(F.monotonically_increasing_id().alias("read_id"), "minimizers")
         solid, unitigs, contigs = one_pass(materialize(keyed), k, p, previous)
         if unitigs.isEmpty():
             break
+        if short is not None:
+            small.append(short)
+        short = contigs.where((F.size("minimizers") <= k) & (F.ceil("abundance") > 1)) if k >= SMALL_K else None
         result, previous = (k, unitigs, contigs), solid
         sequences = base.unionByName(contigs.select("minimizers"))
     if result is None:
         empty = reads.sparkSession.createDataFrame([], "contig long, cutoff double, minimizers array<bigint>, abundance double, circular boolean")
         return p.first_k, empty, empty
-    return result
+    return (*result[:2], with_small(result[2], reduce(DataFrame.unionByName, small), p.first_k)) if small else result
 
 
 def pair_segments(reads: DataFrame, p: Parameters) -> DataFrame:

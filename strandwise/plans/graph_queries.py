@@ -472,7 +472,7 @@ def correct_reads(spark, d):
 def assemble(spark, d):
     """Contigs of the whole read set."""
     p = assembly.Parameters(density=DENSITY, compress=False, platform="hifi", min_contig_coverage=0)
-    return assembly.assemble(table(spark, d, "reads").select("read_id", "seq", "qual"), p, most_k=K + 1)
+    return assembly.assemble(table(spark, d, "reads").select("read_id", "seq", "qual"), p)
 
 
 @query()

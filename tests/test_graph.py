@@ -116,3 +116,25 @@ def test_a_simulated_genome_comes_back(spark):
         got = assembly.assemble(reads, p, 4).collect()
         assert len(got) == 1 and got[0]["length"] > 4600
         assert got[0]["seq"] in genome or flip(got[0]["seq"]) in genome
+
+
+def test_later_passes_keep_what_occurs_once(spark):
+    # Parts of abundance 5 and 3 make a solid k-min-mer though it is seen once; one of abundance 1 doesn't.
+    previous = spark.createDataFrame([([1, 2, 3], 5), ([2, 3, 4], 3), ([3, 4, 5], 1)], "km array<long>, abundance long")
+    reads = spark.createDataFrame([(1, [1, 2, 3, 4, 5])], "read_id long, minimizers array<long>")
+    got = assembly.counted(reads, 4, assembly.Parameters(first_k=3), previous).collect()
+    assert [(r["km"], r["abundance"]) for r in got] == [([1, 2, 3, 4], 3)]
+
+
+def test_small_contigs_come_back(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "contig long, minimizers array<long>")
+    got = assembly.with_small(rows((1, [1, 2, 3, 4, 5, 6])), rows((2, [4, 3, 2]), (3, [7, 8, 9]), (4, [6, 7, 8, 9])), 3)
+    assert sorted(r["contig"] for r in got.collect()) == [1, 4]
+
+
+def test_assemble_query_runs_to_the_last_k(spark, monkeypatch, tmp_path):
+    from strandwise.plans import catalog
+
+    spark.createDataFrame([(1, "ACGT", None)], "read_id long, seq string, qual string").write.parquet(str(tmp_path / "reads.parquet"))
+    monkeypatch.setattr(assembly, "assemble", lambda reads, p, most_k=None: (most_k, p.max_k))
+    assert catalog.QUERIES["assemble"](spark, str(tmp_path)) == (None, 0)
