@@ -281,15 +281,29 @@ def select_contigs(snapshots: DataFrame, k: int) -> DataFrame:
     """Contigs from the strictest snapshot down: unitigs whose abundance is twice the cutoff or more.
 
     A unitig is taken at the highest cutoff at which it qualifies, unless one of its
-    k-min-mers belongs to a contig taken at a higher cutoff; the decision is made
-    in one pass, each k-min-mer going to its strictest qualifying unitig.
+    k-min-mers belongs to a contig taken at a higher cutoff (of one cutoff: of the
+    larger id); one that isn't taken bars no other.  Each round takes those that are
+    the strictest left for all their k-min-mers and drops what shares any with them,
+    which gives the contigs of going down level by level in fewer rounds.
     """
+    scratch = Scratch(snapshots.sparkSession)
     fit = snapshots.where(F.col("abundance") >= F.col("cutoff") / 0.5)
-    ident = fit.select(F.xxhash64("minimizers", "cutoff").alias("contig"), "cutoff", "minimizers", "abundance", "circular")
-    parts = ident.select("contig", "cutoff", F.explode(F.transform(F.sequence(F.lit(1), F.size("minimizers") - (k - 1)), lambda i: F.slice("minimizers", i, k))).alias("raw")).select("contig", "cutoff", F.least("raw", F.reverse("raw")).alias("km"))
-    best = parts.groupBy("km").agg(F.max(F.struct("cutoff", "contig")).alias("b")).select("km", F.col("b.contig").alias("owner"))
-    lost = parts.join(best, "km").where("owner <> contig").select("contig").distinct()
-    return ident.join(lost, "contig", "left_anti")
+    ident = scratch.keep(fit.select(F.xxhash64("minimizers", "cutoff").alias("contig"), "cutoff", "minimizers", "abundance", "circular"))
+    parts = ident.select("contig", "cutoff", F.explode(F.transform(F.sequence(F.lit(1), F.size("minimizers") - (k - 1)), lambda i: F.slice("minimizers", i, k))).alias("raw")).select("contig", "cutoff", F.least("raw", F.reverse("raw")).alias("km")).distinct()
+    path, left, n = scratch.counted(parts)
+    taken = []
+    while n:
+        best = left.groupBy("km").agg(F.max(F.struct("cutoff", "contig")).alias("b")).select("km", F.col("b.contig").alias("owner"))
+        behind = left.join(best, "km").where("owner <> contig").select("contig").distinct()
+        first = scratch.keep(left.join(behind, "contig", "left_anti").select("contig", "km"))
+        taken.append(first.select("contig").distinct())
+        gone = left.join(first.select("km"), "km", "left_semi").select("contig").distinct()
+        rest, left, n = scratch.counted(left.join(gone, "contig", "left_anti"))
+        scratch.drop(path)
+        path = rest
+    if not taken:
+        return ident
+    return ident.join(reduce(DataFrame.unionByName, taken), "contig", "left_semi")
 
 
 def neighbourhood(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:

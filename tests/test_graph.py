@@ -68,6 +68,15 @@ def test_progressive_filter_and_selection(spark):
     assert graph.cutoffs(1.2) == [1.1] and graph.cutoffs(1.0) == []
 
 
+def test_a_unitig_not_taken_bars_no_other(spark):
+    # W shares 3, 4, 5 with V and V shares 5, 6, 7 with U: W takes V's place, so U stays.
+    w, v, u, x = [1, 2, 3, 4, 5], [3, 4, 5, 6, 7], [9, 7, 6, 5], [20, 21, 22]
+    rows = [(10.0, w, 30.0, False), (6.0, v, 20.0, False), (1.1, u, 9.0, False), (1.1, w, 25.0, False), (0.0, x, 1.0, False), (6.0, x, 11.0, False)]
+    shots = spark.createDataFrame(rows, "cutoff double, minimizers array<long>, abundance double, circular boolean")
+    picked = graph.select_contigs(shots, 3).collect()
+    assert sorted((r["cutoff"], r["minimizers"]) for r in picked) == [(0.0, x), (1.1, u), (10.0, w)]
+
+
 def test_empty_graph(spark):
     none = spark.createDataFrame([], NODES)
     assert graph.compact(none, 2).count() == graph.compact(none, 2, one_task=-1).count() == 0
