@@ -152,9 +152,9 @@ PAIRS = f"""{MREADS}, {TOP}, fl as (select read_id, list(v order by pos) ms, lis
     pr as (select read_id, i::INT i, ps[i + 1]::INT pos, ps[i + 2]::INT npos, least(ms[i + 1], ms[i + 2]) a, greatest(ms[i + 1], ms[i + 2]) b, ms[i + 1] >= ms[i + 2] rev from (select *, unnest(range(0, len(ms) - 1)) i from fl))"""
 
 
-def pairs_of(spark, d):
+def pairs_of(spark, d, fraction=0.001):
     m = mreads_of(spark, d).select("read_id", "minimizers", "pos")
-    top = minimize.repetitive_minimizers(minimize.minimizer_counts(m), 0.001)
+    top = minimize.repetitive_minimizers(minimize.minimizer_counts(m), fraction)
     banned = F.broadcast(top.agg(F.collect_set("minimizer").alias("_b")))
     kept = m.withColumn("_k", F.lit(0)).join(banned.withColumn("_k", F.lit(0)), "_k")
     zipped = kept.select("read_id", F.filter(F.arrays_zip("minimizers", "pos"), lambda z: ~F.array_contains("_b", z["minimizers"])).alias("z"))
@@ -458,7 +458,9 @@ def next_k_graph(spark, d):
 @query()
 def chain_anchors(spark, d):
     """Best chains between all reads and the long reads."""
-    return align.chain_anchors(read_contig_anchors(spark, d), 3)
+    p = pairs_of(spark, d, 1e-5)
+    found = overlaps.anchors(p, p.join(contig_ids(spark, d), "read_id", "left_semi"), exclude_self=True)
+    return align.chain_anchors(found, 3)
 
 
 @query()

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from strandwise.operators import align
+from strandwise.operators import align, minimize
 
 
 def test_chain_takes_the_colinear_anchors():
@@ -93,3 +93,17 @@ def test_chains_of_a_frame(spark):
     df = spark.createDataFrame(rows, "query long, reference long, q_i int, r_i int, q_pos int, r_pos int, same_strand boolean")
     got = {r["reference"]: (r["same_strand"], r["n_anchors"], r["r_start"], r["r_end"], r["q_start"], r["q_end"]) for r in align.chain_anchors(df).collect()}
     assert got == {2: (True, 5, 3, 43, 0, 40), 3: (False, 4, 70, 100, 0, 30)}
+
+
+def test_chains_of_reads_on_contigs_keep_frequent_minimizers(spark, tmp_path):
+    from strandwise.plans import catalog
+
+    rng = np.random.default_rng(4)
+    long = ["".join(rng.choice(list("ACGT"), 1600)) for _ in range(50)]
+    rows = [(i, s, None) for i, s in enumerate(long)] + [(100 + i, long[0][200:500], None) for i in range(5)]
+    spark.createDataFrame(rows, "read_id long, seq string, qual string").write.parquet(str(tmp_path / "reads.parquet"))
+    reads = spark.read.parquet(str(tmp_path / "reads.parquet"))
+    n = minimize.minimizer_reads(reads.where("read_id = 100"), 15, 0.05).first()["minimizers"]
+    got = catalog.QUERIES["chain_anchors"](spark, str(tmp_path)).collect()
+    # Of the copies' minimizers, the most frequent ones, one alone is left out.
+    assert {r["n_anchors"] for r in got if r["query"] >= 100 and r["reference"] == 0} == {len(n) - 2}
