@@ -460,7 +460,7 @@ def chain_anchors(spark, d):
     """Best chains between all reads and the long reads."""
     p = pairs_of(spark, d, 1e-5)
     found = overlaps.anchors(p, p.join(contig_ids(spark, d), "read_id", "left_semi"), exclude_self=True)
-    return align.chain_anchors(found, 3)
+    return align.chain_anchors(found, 2)
 
 
 @query()

@@ -107,3 +107,16 @@ def test_chains_of_reads_on_contigs_keep_frequent_minimizers(spark, tmp_path):
     got = catalog.QUERIES["chain_anchors"](spark, str(tmp_path)).collect()
     # Of the copies' minimizers, the most frequent ones, one alone is left out.
     assert {r["n_anchors"] for r in got if r["query"] >= 100 and r["reference"] == 0} == {len(n) - 2}
+
+
+def test_chains_of_two_anchors_on_contigs_stay(spark, tmp_path):
+    from strandwise.plans import catalog
+
+    long = "".join(np.random.default_rng(6).choice(list("ACGT"), 4000))
+    one = minimize.minimizer_reads(spark.createDataFrame([(0, long, None)], "read_id long, seq string, qual string"), 15, 0.05).first()
+    pos = one["pos"]
+    i = next(i for i in range(1, len(pos) - 4) if pos[i] - pos[i - 1] > 3 and pos[i + 3] - pos[i + 2] > 3)
+    rows = [(0, long, None), (1, long[pos[i] - 2 : pos[i + 2] + 17], None), (2, long[-400:], None), (3, long[-400:], None)]
+    spark.createDataFrame(rows, "read_id long, seq string, qual string").write.parquet(str(tmp_path / "reads.parquet"))
+    got = catalog.QUERIES["chain_anchors"](spark, str(tmp_path)).where("query = 1").collect()
+    assert [(r["reference"], r["n_anchors"]) for r in got] == [(0, 2)]
