@@ -113,19 +113,38 @@ def overlap_align(ref: list[int], query: list[int]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def unpalindromic(minimizers: list[int], first_k: int, last_k: int) -> list[int]:
+    """Places that :func:`purge_palindromes` keeps."""
+    m, at = list(minimizers), list(range(len(minimizers)))
+    k, i = first_k, 0
+    while k < last_k and k <= len(m):
+        if i + k > len(m):
+            k, i = k + 1, 0
+        elif m[i] == m[i + k - 1] and m[i : i + k] == m[i : i + k][::-1]:
+            del m[i], at[i]
+            k, i = first_k, 0
+        else:
+            i += 1
+    return at
+
+
 def purge_palindromes(minimizers: list[int], first_k: int, last_k: int) -> list[int]:
-    """Drop the first minimizer of the first palindromic window of any k, and look again."""
-    m = list(minimizers)
-    for k in range(first_k, last_k):
-        i = 0
-        while i + k <= len(m):
-            w = m[i : i + k]
-            if w == w[::-1]:
-                del m[i]
-                i = max(0, i - k)
-            else:
-                i += 1
-    return m
+    """Drop the first minimizer of the first palindromic window of the smallest k, and look again."""
+    return [minimizers[i] for i in unpalindromic(minimizers, first_k, last_k)]
+
+
+def purged_reads(mreads: DataFrame, first_k: int, last_k: int) -> DataFrame:
+    """Reads freed of palindromes, with the places of what is left: ``read_id, minimizers, pos``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for m, pos in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                at = unpalindromic(m or [], first_k, last_k)
+                out.append(([m[i] for i in at], [pos[i] for i in at]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m for m, _ in out], pa.list_(pa.int64())), pa.array([x for _, x in out], pa.list_(pa.int32()))], names=["read_id", "minimizers", "pos"])
+
+    return mreads.select("read_id", "minimizers", "pos").mapInArrow(run, "read_id long, minimizers array<bigint>, pos array<int>")
 
 
 def correct(backbone: list[int], others: list[list[int]], share: float = 0.75) -> list[int]:

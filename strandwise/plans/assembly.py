@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,13 +81,24 @@ def find_neighbours(mreads: DataFrame, most: int = 20, least: int = 3) -> DataFr
     return overlaps.top_per_position(spread, ["read_id", "at"], "score", "other", most).select("read_id", "other").distinct()
 
 
+def selected_reads(reads: DataFrame, p: Parameters) -> DataFrame:
+    """Minimizer reads before correction: ``read_id, minimizers, pos``.
+
+    Low-complexity reads (mean score above 5) are left out; where nothing is
+    corrected palindromes are purged up to the last k that the reads' lengths give.
+    """
+    density = p.density_correction if p.corrects else p.density
+    low = minimize.sequence_complexity(reads).where("mean_score > 5").select("read_id")
+    mreads = minimize.minimizer_reads(reads, p.kmer_size, density, p.compresses, None, p.min_read_quality).join(low, "read_id", "left_anti").select("read_id", "minimizers", "pos")
+    return mreads if p.corrects else align.purged_reads(mreads, p.first_k, k_limit(reads, replace(p, max_k=0)))
+
+
 def prepared_reads(reads: DataFrame, p: Parameters) -> DataFrame:
     """Minimizer reads ready for the graph: ``read_id, minimizers``."""
-    density = p.density_correction if p.corrects else p.density
-    mreads = materialize(minimize.minimizer_reads(reads, p.kmer_size, density, p.compresses, None, p.min_read_quality))
+    mreads = materialize(selected_reads(reads, p))
     if not p.corrects:
         return mreads.select("read_id", "minimizers")
-    fixed = align.corrected_reads(mreads, find_neighbours(mreads), p.first_k)
+    fixed = align.corrected_reads(mreads, find_neighbours(mreads), p.first_k, k_limit(reads, p))
     return materialize(minimize.lower_density(fixed, p.density).where(F.size("minimizers") >= p.first_k))
 
 
@@ -181,7 +192,8 @@ def pair_segments(reads: DataFrame, p: Parameters) -> DataFrame:
     wins (ties: the longer, then the smaller text), so that errors of single reads
     are outvoted without aligning them.
     """
-    m = minimize.minimizer_reads(reads, p.kmer_size, p.density, p.compresses).select("read_id", "minimizers", "pos")
+    # Pairs are those of the graph: a minimizer purged from it ends no segment.
+    m = minimize.minimizer_reads(reads, p.kmer_size, p.density, p.compresses).select("read_id", "minimizers", "pos") if p.corrects else selected_reads(reads, p)
     if p.compresses:
         # Places in the compressed read, translated to those in the read itself.
         starts = minimize.run_positions(reads)

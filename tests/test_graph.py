@@ -147,3 +147,21 @@ def test_assemble_query_runs_to_the_last_k(spark, monkeypatch, tmp_path):
     spark.createDataFrame([(1, "ACGT", None)], "read_id long, seq string, qual string").write.parquet(str(tmp_path / "reads.parquet"))
     monkeypatch.setattr(assembly, "assemble", lambda reads, p, most_k=None: (most_k, p.max_k))
     assert catalog.QUERIES["assemble"](spark, str(tmp_path)) == (None, 0)
+
+
+@pytest.mark.parametrize("correction", [False, True])
+def test_prepared_reads_are_filtered(spark, correction):
+    import numpy as np
+
+    from strandwise.operators import align
+
+    assert align.purge_palindromes([2, 1, 2, 2, 2, 1], 4, 8) == [2, 2, 2, 1]
+    rng = np.random.default_rng(5)
+    half = "".join(rng.choice(list("ACGT"), 900))
+    hairpin = half + half.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    unit = "".join(rng.choice(list("ACGT"), 5))
+    reads = spark.createDataFrame([(1, hairpin, None), (2, unit * 300, None)], "read_id long, seq string, qual string")
+    p = assembly.Parameters(density=0.4, density_correction=0.4, compress=False, correction=correction, max_k=60)
+    got = {r["read_id"]: r["minimizers"] for r in assembly.prepared_reads(reads, p).collect()}
+    assert set(got) == {1} and len(got[1]) > 100
+    assert not any(got[1][i : i + k] == got[1][i : i + k][::-1] for k in range(4, 60) for i in range(len(got[1]) - k + 1))
