@@ -26,11 +26,10 @@ CONTAINERS = "container_id long, capacity int, used int, doc_id long, piece int,
 def plan(histogram: dict[int, int], capacities: list[int]) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """Kinds of containers ``(capacity, number, [(size, items), ...])``.
 
-    Best fit, largest sizes first, over all permitted capacities at once.  An
-    item goes where it leaves least space: into the open container with the
-    smallest room that holds it, at its permitted capacity or any larger one.
-    Only if none holds it a container is opened, at the capacity of least cost:
-    the largest, whose spare room costs nothing while smaller items are to come.
+    Best fit, largest sizes first, at the largest capacity.  An item goes where it
+    leaves least space: into the open container with the smallest room that holds
+    it.  Only if none holds it a container is opened; the smaller capacities aren't
+    weighed then.
     At the end each container is downsized to the least permitted capacity that
     holds its contents.  Equal containers are handled together by number.
     """
