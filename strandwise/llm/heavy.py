@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Abundance of a record whose count is unknown (the largest unsigned 32-bit number).
 UNKNOWN_COUNT = 4294967295
 
@@ -15,12 +17,14 @@ def delivered_once(records: DataFrame, key: list[str], weight: str, delivery: li
     """Counting records (whole key, known weight), each delivery once.
 
     Deliveries repeat with equal content; should they differ, the smallest
-    (key, weight) counts.  The group is reduced before the shuffle.  A null in
-    ``delivery`` is a value like any other only if all parts are equal.
+    (key, weight) counts.  The group is reduced before the shuffle.  A record that
+    lacks a part of ``delivery`` can't be a repeat and counts by itself.
     """
     counting = records.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*key, weight]]) & (F.col(weight) != unknown))
-    once = counting.groupBy(*delivery).agg(F.min(F.struct(*key, weight)).alias("_r"))
-    return once.select(*[F.col(f"_r.{c}").alias(c) for c in [*key, weight]])
+    named = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in delivery])
+    once = counting.where(named).groupBy(*delivery).agg(F.min(F.struct(*key, weight)).alias("_r"))
+    columns = [*key, weight]
+    return once.select(*[F.col(f"_r.{c}").alias(c) for c in columns]).unionByName(counting.where(~named).select(*columns))
 
 
 def _bucket(key: list[str], seed: int, buckets: int) -> Column:
@@ -33,28 +37,32 @@ def iceberg(records: DataFrame, key: list[str], weight: str, share_inverse: int
     Columns: the key, ``estimate`` (least of its exact bucket sums, an upper
     bound) and ``total`` (exact).
 
-    Pass 1 sums the weight of ``buckets`` coarse buckets under each of ``hashes``
-    hash functions: ``hashes * buckets`` numbers however many keys there are.  A
-    bucket is heavy from the threshold on, so each hash has at most
-    ``share_inverse`` heavy buckets; only these are broadcast.  Pass 2 keeps keys
-    whose bucket is heavy under every hash and counts the survivors exactly, with
-    partial sums before the shuffle, so a hot key costs one row a task.
+    ``records`` are written once, as two passes read them.  Pass 1 sums the weight
+    of ``buckets`` coarse buckets under each of ``hashes`` hash functions:
+    ``hashes * buckets`` numbers however many keys there are.  A bucket is heavy
+    from the threshold on, so each hash has at most ``share_inverse`` heavy
+    buckets, and only these leave the engine.  Pass 2 keeps keys whose bucket is
+    heavy under every hash and counts the survivors exactly, with partial sums
+    before the shuffle, so a hot key costs one row a task.
 
     Weights must not be negative; a null weight counts as 0, null keys are
     dropped.  An empty table gives an empty result, as does a total of 0.
     Keys that meet the threshold exactly are in the result.
     """
-    rows = records.select(*key, F.coalesce(F.col(weight), F.lit(0)).cast("long").alias("_w")).dropna(subset=key)
+    spark = records.sparkSession
+    rows = materialize(records.select(*key, F.coalesce(F.col(weight), F.lit(0)).cast("long").alias("_w")).dropna(subset=key))
     spread = rows.select(F.posexplode(F.array(*[_bucket(key, h, buckets) for h in range(hashes)])).alias("_h", "_b"), "_w")
     sums = spread.groupBy("_h", "_b").agg(F.sum("_w").alias("_s"))
-    # Each hash's buckets add up to the total, which comes with them: hashes * buckets rows at most.
-    totals = sums.groupBy("_h").agg(F.sum("_s").alias("_total"))
-    heavy = sums.join(F.broadcast(totals), "_h").where((F.col("_total") > 0) & (F.col("_s") * share_inverse >= F.col("_total")))
-    kept = rows
-    for h in range(hashes):
+    # Each hash's buckets add up to the total, which comes with them.
+    heavy = sums.withColumn("_total", F.sum("_s").over(Window.partitionBy("_h"))).where((F.col("_total") > 0) & (F.col("_s") * share_inverse >= F.col("_total")))
+    found = heavy.collect()
+    total = found[0]["_total"] if found else 0
+    mine = [{r["_b"]: r["_s"] for r in found if r["_h"] == h} for h in range(hashes)]
+    kept = rows.where(reduce(lambda a, b: a & b, [_bucket(key, h, buckets).isin(list(m)) for h, m in enumerate(mine)]))
+    exact = kept.groupBy(*key).agg(F.sum("_w").alias("total")).where(F.col("total") * share_inverse >= F.lit(total))
+    for h, m in enumerate(mine):
         # At most share_inverse rows.
-        mine = heavy.where(F.col("_h") == h).select(F.col("_b").alias(f"_b{h}"), F.col("_s").alias(f"_s{h}"), *([F.col("_total")] if h == 0 else []))
-        kept = kept.withColumn(f"_b{h}", _bucket(key, h, buckets)).join(F.broadcast(mine), f"_b{h}")
-    estimate = F.least(*[F.min(f"_s{h}") for h in range(hashes)]) if hashes > 1 else F.min("_s0")
-    exact = kept.groupBy(*key).agg(estimate.alias("estimate"), F.sum("_w").alias("total"), F.max("_total").alias("_total"))
-    return exact.where(F.col("total") * share_inverse >= F.col("_total")).select(*key, "estimate", "total")
+        known = spark.createDataFrame(sorted(m.items()), f"_b{h} long, _s{h} long")
+        exact = exact.withColumn(f"_b{h}", _bucket(key, h, buckets)).join(F.broadcast(known), f"_b{h}")
+    estimate = F.least(*[F.col(f"_s{h}") for h in range(hashes)]) if hashes > 1 else F.col("_s0")
+    return exact.select(*key, estimate.alias("estimate"), "total")

@@ -1,4 +1,4 @@
-"""Filling fixed-capacity containers: best fit over the histogram of sizes.
+"""Filling containers of several permitted lengths: best fit over the histogram of sizes.
 
 Items of one size are interchangeable, so the plan needs only how many items
 have each size: at most ``capacity`` numbers, whatever the corpus.  The plan is
@@ -8,7 +8,7 @@ are of each; the rows then find their container by their rank within their size.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,72 +16,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Scratch, shuffle_width
 
-#: Parts into which the rows of one size are split for ranking.
-LANES = 64
+#: Items ranked by one task.
+ITEMS_PER_LANE = 100_000
 CONTAINERS = "container_id long, capacity int, used int, doc_id long, piece int, piece_start int, n_tokens int"
 
 
+def _best_fit(room: int, first: int, sizes: list[int], left: dict[int, int]) -> tuple[int, list[tuple[int, int]]]:
+    """Contents of one container of ``room`` that begins with an item of size ``first``.
+
+    The next item is always the one that leaves least space: the largest that fits.
+    Returns the space that nothing left fits into, and ``(size, items)``.
+    """
+    contents, size = [], first
+    while True:
+        n = min(room // size, left[size])
+        contents.append((size, n))
+        room -= n * size
+        k = bisect_right(sizes, min(room, size - 1)) - 1
+        if k < 0:
+            return room, contents
+        size = sizes[k]
+
+
 def plan(histogram: dict[int, int], capacities: list[int]) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """Kinds of containers ``(capacity, number, [(size, items), ...])``.
 
-    Best fit, largest sizes first, at the largest capacity.  An item goes where it
-    leaves least space: into the open container with the smallest room that holds
-    it.  Only if none holds it a container is opened; the smaller capacities aren't
-    weighed then.
-    At the end each container is downsized to the least permitted capacity that
-    holds its contents.  Equal containers are handled together by number.
+    Variable-capacity best fit.  The largest item left opens a container.  Which
+    permitted capacity is opened is decided by cost: each that holds the item is
+    filled, best fit, from what is left, and the one with the smallest unused share
+    is opened (of equal ones the largest).  So a small capacity is chosen where a
+    large one couldn't be filled, and no capacity is preferred beforehand.  The same
+    contents are repeated as often as the items left allow, so equal containers are
+    handled by number.  At the end each container is downsized to the least
+    permitted capacity that holds its contents.
     """
     limits = sorted(set(capacities))
-    top = limits[-1]
-    if any(s < 1 or s > top for s in histogram):
+    if any(s < 1 or s > limits[-1] for s in histogram):
         raise ValueError("sizes must be between 1 and the largest capacity")
-    open_by_room: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}
-    rooms: list[int] = []
-    full: list[tuple[int, int, tuple[tuple[int, int], ...]]] = []
-
-    def put(room: int, number: int, contents: tuple[tuple[int, int], ...]) -> None:
-        if room == 0:
-            full.append((0, number, contents))
-            return
-        if room not in open_by_room:
-            open_by_room[room] = []
-            insort(rooms, room)
-        open_by_room[room].append((number, contents))
-
-    for size in sorted(histogram, reverse=True):
-        left = histogram[size]
-        while left:
-            k = bisect_left(rooms, size)
-            if k < len(rooms):
-                room = rooms[k]
-                number, contents = open_by_room[room].pop()
-                if not open_by_room[room]:
-                    del open_by_room[room]
-                    rooms.pop(k)
-                each = min(room // size, left // number) if left >= number else 0
-                if each:
-                    put(room - each * size, number, (*contents, (size, each)))
-                    left -= each * number
-                else:
-                    put(room, number - left, contents)
-                    put(room - size, left, (*contents, (size, 1)))
-                    left = 0
-            else:
-                each = top // size
-                number = left // each
-                if number:
-                    put(top - each * size, number, ((size, each),))
-                    left -= number * each
-                else:
-                    put(top - left * size, 1, ((size, left),))
-                    left = 0
-    done = [*full, *((room, number, contents) for room in rooms for number, contents in open_by_room[room])]
+    left = {s: n for s, n in histogram.items() if n > 0}
+    sizes = sorted(left)
     out = []
-    for room, number, contents in done:
-        used = top - room
-        out.append((limits[bisect_left(limits, used)], number, [(s, n) for s, n in contents]))
+    while sizes:
+        first = sizes[-1]
+        filled = ((c, *_best_fit(c, first, sizes, left)) for c in limits[bisect_left(limits, first) :])
+        capacity, unused, contents = min(filled, key=lambda x: (x[1] / x[0], -x[0]))
+        number = min(left[s] // n for s, n in contents)
+        out.append((limits[bisect_left(limits, capacity - unused)], number, contents))
+        for s, n in contents:
+            left[s] -= n * number
+            if not left[s]:
+                del left[s]
+                sizes.pop(bisect_left(sizes, s))
     return out
 
 
@@ -114,7 +101,7 @@ def _place(t: dict[str, np.ndarray]):
     return run
 
 
-def packed(sizes: DataFrame, capacity: int = 2048, capacities: list[int] | None = None, lanes: int = LANES) -> DataFrame:
+def packed(sizes: DataFrame, capacity: int = 2048, capacities: list[int] | None = None, items_per_lane: int = ITEMS_PER_LANE) -> DataFrame:
     """Assign items ``doc_id, n_tokens`` to containers.
 
     Columns ``container_id, capacity, used, doc_id, piece, piece_start,
@@ -125,10 +112,11 @@ def packed(sizes: DataFrame, capacity: int = 2048, capacities: list[int] | None
     after piece; no other item is cut.  Items of null or 0 size aren't assigned.
     Repeated ids are items of their own.  An empty table gives no rows.
 
-    Only the histogram reaches the driver, at most ``capacity`` numbers.  Ranks
-    are counted in ``lanes`` parts a size, so a size that a third of all items
-    have isn't ranked in one task; offsets of the parts are at most
-    ``lanes * capacity`` rows.
+    Only the histogram reaches the driver, at most ``capacity`` numbers.  Full
+    pieces are a container each and need no rank.  The others are ranked within
+    their size in as many lanes as their number asks for, so a size that a third of
+    all items have isn't ranked in one task.  Container numbers are unique, not
+    consecutive.
     """
     spark = sizes.sparkSession
     limits = sorted({capacity, *(capacities or [])})
@@ -137,19 +125,23 @@ def packed(sizes: DataFrame, capacity: int = 2048, capacities: list[int] | None
     n = F.col("n_tokens").cast("int")
     starts = F.sequence(F.lit(0), n - 1, F.lit(capacity))
     cuts = sizes.where("n_tokens > 0").select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n_tokens"), F.posexplode(starts).alias("piece", "piece_start"))
-    items = cuts.select("doc_id", "piece", "piece_start", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece_start")).cast("int").alias("n_tokens"))
-    items = cut(items.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(lanes)).cast("int")))
-    counts = items.groupBy("n_tokens", "lane").count()
-    kept = cut(counts)
-    before = Window.partitionBy("n_tokens").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = kept.select("n_tokens", "lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    histogram = {r[0]: r[1] for r in kept.groupBy("n_tokens").agg(F.sum("count")).collect()}
+    items = Scratch(spark).keep(cuts.select("doc_id", "piece", "piece_start", F.least(F.lit(capacity), F.col("n_tokens") - F.col("piece_start")).cast("int").alias("n_tokens")))
+    part = items.where(F.col("n_tokens") < capacity)
+    histogram = {r[0]: r[1] for r in part.groupBy("n_tokens").count().collect()}
+    kinds = plan(histogram, limits)
+    planned = sum(number for _, number, _ in kinds)
+    # Rows of a written table keep their place, so these numbers are the same at every run.
+    full = items.where(F.col("n_tokens") == capacity).select((F.monotonically_increasing_id() + planned).alias("container_id"), F.lit(capacity).alias("capacity"), F.lit(capacity).alias("used"), "doc_id", "piece", "piece_start", "n_tokens")
     if not histogram:
-        return spark.createDataFrame([], CONTAINERS)
+        return full
+    lanes = shuffle_width(spark, sum(histogram.values()), items_per_lane)
+    placed = part.withColumn("lane", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(lanes)).cast("int"))
+    before = Window.partitionBy("n_tokens").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("n_tokens", "lane").count().select("n_tokens", "lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     within = Window.partitionBy("n_tokens", "lane").orderBy("doc_id", "piece")
-    ranked = items.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["n_tokens", "lane"])
+    ranked = placed.withColumn("r", F.row_number().over(within) - 1).join(offsets, ["n_tokens", "lane"])
     ready = ranked.select("doc_id", "piece", "piece_start", "n_tokens", (F.col("r") + F.col("offset")).cast("long").alias("rank"))
-    return ready.mapInArrow(_place(_table(plan(histogram, limits), capacity)), CONTAINERS)
+    return ready.mapInArrow(_place(_table(kinds, capacity)), CONTAINERS).unionByName(full)
 
 
 def fill_report(containers: DataFrame) -> DataFrame:

@@ -110,6 +110,14 @@ def _first_of_key(hi: np.ndarray, lo: np.ndarray, order: np.ndarray) -> tuple[np
     return by, np.repeat(order[by][new], np.diff(np.append(np.flatnonzero(new), len(by)))) if len(by) else order
 
 
+def _once_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Known keys, each once a batch, so that a key that is given often costs one row a batch."""
+    for b in batches:
+        hi, lo = (np.asarray(b.column(k).to_numpy(zero_copy_only=False), np.int64) for k in (1, 2))
+        by, first = _first_of_key(hi, lo, np.arange(len(hi)))
+        yield b.take(pa.array(by[by == first]))
+
+
 def _settle_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Before the shuffle: all but a batch's first record of a key are seen already.
 
@@ -140,8 +148,6 @@ def _answer(capacity: int, target_fpp: float, n_probes: int):
             at[at == n_probes] = 0
             absent[by_hi[at[sorted_hi[at] == hi]]] = False
 
-        held: list[np.ndarray] = []
-
         def settle(rec: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
             """Query, then insert; records of one id don't see each other."""
             seen = bloom.query(hi, lo)
@@ -166,8 +172,13 @@ def _answer(capacity: int, target_fpp: float, n_probes: int):
             hi, lo = (b.column(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (1, 2))
             known = state == KNOWN
             if known.any():
-                bloom.insert(hi[known], lo[known])
-                note(hi[known])
+                # Keys that are in already, by this or another row, take no room.
+                h, l = hi[known], lo[known]
+                by, first = _first_of_key(h, l, np.arange(len(h)))
+                h, l = h[by[by == first]], l[by[by == first]]
+                fresh = ~bloom.query(h, l)
+                bloom.insert(h[fresh], l[fresh])
+                note(h)
             decided = state == SEEN
             if decided.any():
                 yield out(rec[decided], np.ones(int(decided.sum()), bool))
@@ -198,13 +209,19 @@ def seen_before(
     key: tuple[str, str] = ("vec_hash_hi", "vec_hash_lo"),
     target_fpp: float = 1e-6,
     keys_per_filter: int = 1 << 19,
-    probes: int = 8192,
+    probes: int | None = None,
 ) -> DataFrame:
     """Answer each record of ``records``, and measure the filters' error rate.
 
     Rows with ``rec_id`` hold an answer: ``seen``.  One row a partition has no
     answer but the filter's figures: ``probes`` keys proven absent from the
     partition, ``false_hits`` among them, keys ``inserted``, ``filter_bytes``.
+    By default all partitions together try ``3 / target_fpp`` absent keys, so that
+    no false hit among them bounds the rate by the target with 95 % confidence.
+
+    Partitions follow from the records and the known keys together, so that each
+    holds about one filter's worth of keys; a task's memory is that filter, the
+    probes and a batch.
 
     Answers are never wrongly *not seen*; wrongly *seen* with a chance of at most
     ``target_fpp``.  Records with a null half of the key have no key and no row in
@@ -217,11 +234,13 @@ def seen_before(
     rows = records.select(F.col(id_col).cast("long").alias("rec_id"), F.col(hi).cast("long").alias("hi"), F.col(lo).cast("long").alias("lo")).where("hi is not null and lo is not null")
     asked = rows.mapInArrow(_settle_in_batch, "rec_id long, hi long, lo long, state tinyint")
     given = known.select(F.lit(None).cast("long").alias("rec_id"), F.col(hi).cast("long").alias("hi"), F.col(lo).cast("long").alias("lo"), F.lit(KNOWN).cast("tinyint").alias("state")).where("hi is not null and lo is not null")
-    n = shuffle_width(spark, records.count(), keys_per_filter)
+    given = given.mapInArrow(_once_in_batch, "rec_id long, hi long, lo long, state tinyint")
+    n = shuffle_width(spark, records.count() + known.count(), keys_per_filter)
+    tried = max(1024, -(-int(3 / target_fpp) // n)) if probes is None else probes
     route = F.when(F.col("state") == SEEN, F.xxhash64("rec_id")).otherwise(F.xxhash64("hi", "lo"))
     placed = asked.unionByName(given).repartition(n, route)
     ordered = placed.sortWithinPartitions((F.col("state") == KNOWN).desc(), F.col("rec_id").asc_nulls_last())
-    return ordered.mapInArrow(_answer(keys_per_filter, target_fpp, probes), ANSWERS)
+    return ordered.mapInArrow(_answer(keys_per_filter, target_fpp, tried), ANSWERS)
 
 
 def seen_ids(answers: DataFrame) -> DataFrame:

@@ -22,6 +22,11 @@ def test_counts_deliveries_once_and_skips_what_does_not_count(spark):
     assert {k: t for k, (_, t) in got.items()} == {(1, 1): 9, (2, 2): 1, (4, 4): 1}
 
 
+def test_records_of_no_known_delivery_count_by_themselves(spark):
+    rows = [(i, 1, 1, 2, None, i, 0) for i in range(3)] + [(9, 2, 2, 2, 1, None, 0), (10, 2, 2, 2, 1, None, 0), (11, 3, 3, 1, 1, 1, 0), (12, 3, 3, 1, 1, 1, 0)]
+    assert {k: t for k, (_, t) in run(spark, rows, 100).items()} == {(1, 1): 6, (2, 2): 4, (3, 3): 1}
+
+
 def test_threshold_is_met_exactly(spark):
     rows = [(i, 1, 1, 1, 0, i, None) for i in range(10)] + [(99, i, i, 1, 1, i, None) for i in range(2, 92)]
     assert set(run(spark, rows, 10)) == {(1, 1)}

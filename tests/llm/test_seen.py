@@ -69,3 +69,18 @@ def test_the_filter_holds_its_rate_beyond_its_capacity(target):
     assert f.query(*keys).all()
     absent = rng.integers(0, 2**64, (2, 200000), dtype=np.uint64)
     assert f.query(*absent).mean() < 1.5 * target + 1e-5
+
+
+def test_known_keys_set_the_partitions_and_repeats_take_no_room(spark):
+    known = spark.createDataFrame([(i % 1000, i % 1000 + 7, None) for i in range(20000)], KNOWN)
+    records = spark.createDataFrame([(i, i, i + 7, None, None) for i in range(0, 2000, 2)], SCHEMA)
+    a = seen.seen_before(records, known, keys_per_filter=1000, probes=10).collect()
+    figures = [r for r in a if r["inserted"] is not None]
+    assert len(figures) == 21 and sum(r["inserted"] for r in figures) == 1500
+    assert sorted(r["rec_id"] for r in a if r["seen"]) == list(range(0, 1000, 2))
+
+
+def test_probes_bound_the_target(spark):
+    a = seen.seen_before(spark.createDataFrame([(1, 1, 1, None, None)], SCHEMA), spark.createDataFrame([], KNOWN), target_fpp=1e-4)
+    r = seen.error_rate(a, 1e-4).first()
+    assert r["probes"] >= 30000 and r["upper_95"] <= 1e-4
