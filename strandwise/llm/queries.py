@@ -61,6 +61,12 @@ def p4_shared(spark, d):
     return spans.shared_letters(reads, cut(spans.shared_stretches(reads)))
 
 
+def p4_removed(spark, d):
+    """Reads without the spans that a read of smaller id has."""
+    reads = table(spark, d, "reads").select("read_id", "seq")
+    return spans.without_repeated(reads, spans.shared_stretches(reads))
+
+
 def p5_found(spark, d):
     """Group of each linked read."""
     every = groups.links([(table(spark, d, "read_match").select("ref_read_index", "read_index"), "ref_read_index", "read_index"), (table(spark, d, "read_match_bound").select("ref_read_index", "query_read_index"), "ref_read_index", "query_read_index")])
@@ -107,16 +113,56 @@ def p8_composition(spark, d):
     return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.avg(F.col("n_about") / F.col("n_content")).alias("mean_share"), F.avg("posterior").alias("mean_posterior"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p2_found, p2_totals, p3_found, p3_collapsed, p4_found, p4_shared, p5_found, p6_ids, p6_round_trip, p7_containers, p7_unused, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_error_rate, p2_found, p2_totals, p3_found, p3_collapsed, p4_found, p4_shared, p4_removed, p5_found, p6_ids, p6_round_trip, p7_containers, p7_unused, p8_found, p8_composition)}
+
+#: Every window of 60 bases: read_id, i (0-based), x; and how many reads have it, and the first of them.
+_WINDOWS = """
+    w as (select read_id, i - 1 as i, substr(s, i, 60) x from (select read_id, s, unnest(range(1, length(s) - 58)) i from (select read_id, upper(seq) s from reads where length(seq) >= 60))),
+    v as (select * from w where translate(x, 'ACGT', '') = ''),
+    h as (select x, min(read_id) first_read from v group by x having count(distinct read_id) > 1),
+    hit as (select distinct read_id, i, read_id > first_read as later from v join h using (x))"""
+
+
+def _islands(source: str) -> str:
+    """Stretches of hit windows that overlap or adjoin: read_id, a (start), z (end)."""
+    return f"""
+    {source}_m as (select read_id, i, (lag(i) over o is null or i - lag(i) over o > 60)::INT fresh from {source} window o as (partition by read_id order by i)),
+    {source}_g as (select read_id, i, sum(fresh) over (partition by read_id order by i) g from {source}_m),
+    {source}_s as (select read_id, min(i) a, max(i) + 60 z from {source}_g group by read_id, g)"""
+
+
+_LATER = f"{_WINDOWS}, later as (select read_id, i from hit where later), {_islands('later')}"
+
+#: Counting records, each delivery once: h, l, a.
+_ONCE = """
+    c as (select vec_hash_hi h, vec_hash_lo l, abundance a, chunk_id, chunk_row from km_abundance where vec_hash_hi is not null and vec_hash_lo is not null and abundance is not null and abundance <> 4294967295),
+    o as (select min({'h': h, 'l': l, 'a': a}) r from c where chunk_id is not null and chunk_row is not null group by chunk_id, chunk_row),
+    d as (select r.h h, r.l l, r.a a from o union all select h, l, a from c where chunk_id is null or chunk_row is null)"""
 
 ORACLES = {
+    "p3_found": """
+        with l as (select read_id, qual, length(seq) n, i - 1 as i, upper(substr(seq, i, 1)) c, upper(substr(seq, i - 1, 1)) b, upper(substr(seq, i + 1, 1)) e
+                   from (select read_id, seq, qual, unnest(range(1, length(seq) + 1)) i from reads where length(seq) > 0)),
+        m as (select read_id, i, case when i > 0 and i < n - 1 and length(qual) = n and ascii(substr(qual, i + 1, 1)) - 33 <= 5 and b = e and b in ('A', 'C', 'G', 'T') then b else c end c from l),
+        g as (select read_id, i, c, i - row_number() over (partition by read_id, c order by i) k from m)
+        select read_id, min(i)::INT as run_start, count(*)::INT as run_len from g where c in ('A', 'C', 'G', 'T') group by read_id, c, k having count(*) >= 10""",
+    "p4_found": f"with {_WINDOWS}, every as (select read_id, i from hit), {_islands('every')} select read_id, a::INT as span_start, (z - a)::INT as span_len from every_s",
+    "p4_shared": f"""with {_LATER}, every as (select read_id, i from hit), {_islands('every')}
+        select read_id, coalesce(length(seq), 0)::BIGINT as n_letters, coalesce((select sum(z - a) from every_s e where e.read_id = r.read_id), 0)::BIGINT as n_shared,
+        coalesce((select sum(z - a) from later_s e where e.read_id = r.read_id), 0)::BIGINT as n_repeated from reads r""",
+    "p4_removed": f"""with {_LATER}, p as (select read_id, unnest(range(0, length(seq))) i, seq from reads where seq is not null),
+        k as (select p.read_id, string_agg(substr(p.seq, (p.i + 1)::INT, 1), '' order by p.i) seq from p left join later_s s on s.read_id = p.read_id and p.i >= a and p.i < z where s.read_id is null group by p.read_id),
+        n as (select read_id, sum(z - a)::INT n from later_s group by read_id)
+        select r.read_id, case when r.seq is null then null else coalesce(k.seq, '') end as seq, coalesce(n, 0)::INT as n_removed from reads r left join k using (read_id) left join n using (read_id)""",
+    "p5_found": """
+        with recursive l as (select ref_read_index a, read_index b from read_match union select ref_read_index, query_read_index from read_match_bound),
+        e as (select a, b from l where a <> 4294967295 and b <> 4294967295 union select b, a from l where a <> 4294967295 and b <> 4294967295),
+        t as (select distinct a node, a g from e union select e.b, t.g from t join e on t.node = e.a where t.g < e.b)
+        select node as read_index, min(g) as group_id from t group by node""",
     "p1_found": """
         select r.rec_id from km_abundance r
         left join (select vec_hash_hi h, vec_hash_lo l, min(rec_id) first_id from km_abundance group by all) f on r.vec_hash_hi = f.h and r.vec_hash_lo = f.l
         left join (select distinct vec_hash_hi h, vec_hash_lo l from km_known) n on r.vec_hash_hi = n.h and r.vec_hash_lo = n.l
         where r.vec_hash_hi is not null and r.vec_hash_lo is not null and (n.h is not null or f.first_id < r.rec_id)""",
-    "p2_found": """
-        with d as (select min({'h': vec_hash_hi, 'l': vec_hash_lo, 'a': abundance}) r from km_abundance
-                   where vec_hash_hi is not null and vec_hash_lo is not null and abundance is not null and abundance <> 4294967295 group by chunk_id, chunk_row)
-        select r.h as vec_hash_hi, r.l as vec_hash_lo from d group by all having sum(r.a) * 500 >= (select sum(r.a) from d)""",
+    "p2_found": f"with {_ONCE} select h as vec_hash_hi, l as vec_hash_lo from d group by all having sum(a) * 500 >= (select sum(a) from d)",
 }

@@ -7,8 +7,9 @@ its short words), so a stretch of windows with one minimizer is sent once, at
 two bits a letter.  Equal windows have equal minimizers and meet in one bucket,
 where windows are grouped by their full content, not by a hash alone.
 
-A first pass counts windows per bucket, exactly and in bounded memory.  Windows
-of overfull buckets (adapters, repeats) are routed one by one by their content
+A first pass counts windows per bucket, exactly: each batch sends the counts of
+the buckets it has, and they are added up in ranges of buckets.  Windows of
+overfull buckets (adapters, repeats) are routed one by one by their content
 instead, after each batch has reduced equal windows to one representative, so
 neither a frequent minimizer nor a frequent window makes a hot task.
 """
@@ -31,6 +32,12 @@ WORD = 21
 SLICE = 3_000_000
 PIECE = "bucket int, payload binary"
 STRETCH = "read_id long, start int, stop int, later boolean"
+#: Ranges of buckets in which the census is added up, at least; each holds SPAN buckets at most.
+RANGES, SPAN = 256, 4_000_000
+#: Overfull buckets known to every task, at most: the fullest.  Any other has at most a HOT_BOUND-th of all windows.
+HOT_BOUND = 1 << 22
+#: One bucket's count in one batch.
+COUNT = np.dtype([("at", "<u4"), ("n", "<u4")])
 #: A piece of the payload: read, first window, windows, flag, then the letters.
 HEAD = np.dtype([("read", "<i8"), ("start", "<i4"), ("n", "<u2"), ("flag", "u1"), ("pad", "u1")])
 
@@ -107,14 +114,54 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         first = last
 
 
-def _census(window: int, buckets: int):
+def _census(window: int, buckets: int, span: int):
+    """Windows of each bucket in each slice: one row a range of ``span`` buckets, with the counts in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
         for b in batches:
             for _, codes, offsets in _slices(b):
-                total += np.bincount(_Windows(codes, offsets, window).buckets(buckets), minlength=buckets)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
+                found = _Windows(codes, offsets, window).buckets(buckets)
+                if not len(found):
+                    continue
+                # Neighbouring windows mostly share their bucket: stretches are sorted, not windows.
+                edge = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+                n, found = np.diff(np.append(edge, len(found))), found[edge]
+                by = np.argsort(found, kind="stable")
+                found, n = found[by], n[by]
+                edge = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+                n, found = np.add.reduceat(n, edge), found[edge]
+                where = found // span
+                counts = np.zeros(len(found), COUNT)
+                counts["at"], counts["n"] = found - where * span, n
+                cuts = np.flatnonzero(np.append(True, where[1:] != where[:-1]))
+                rows = [counts[x:z].tobytes() for x, z in zip(cuts, np.append(cuts[1:], len(where)))]
+                yield pa.RecordBatch.from_arrays([pa.array(where[cuts].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "payload"])
+
+    return run
+
+
+def _tally(span: int, most: int):
+    """Buckets of more than ``most`` windows, one range after the other: ``bucket, n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(span, np.int64)
+        current = None
+
+        def full() -> pa.RecordBatch:
+            at = np.flatnonzero(total > most)
+            return pa.RecordBatch.from_arrays([pa.array((at + current * span).astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+        for b in batches:
+            for where, payload in zip(b.column(0).to_pylist(), b.column(1)):
+                if where != current:
+                    if current is not None:
+                        yield full()
+                    total[:] = 0
+                    current = where
+                counts = np.frombuffer(payload.as_buffer(), COUNT)
+                total[counts["at"]] += counts["n"]
+        if current is not None:
+            yield full()
 
     return run
 
@@ -132,34 +179,57 @@ def _pack(codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.
     return out, size
 
 
-def _group(content: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Window numbers ordered by content, and where each content begins."""
-    hi, lo = content
-    mixed = _scatter(hi ^ (lo * np.uint64(0xFF51AFD7ED558CCD)))
-    by = np.argsort(mixed, kind="stable")
-    m, h, l = mixed[by], hi[by], lo[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1])
-    if len(by) > 1 and np.any(new[1:] & (m[1:] == m[:-1])):
-        # Different windows of one hash: order by the content itself.
-        by = np.lexsort((lo, hi))
-        h, l = hi[by], lo[by]
-        new[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1])
-    return by, np.flatnonzero(new)
+class _Contents:
+    """The windows that begin at given places, comparable by their whole content.
 
+    A window is held as words of up to 32 letters, the last of which may overlap the
+    one before; the words of a place are looked up when they are needed, so a long
+    window costs no more memory than a short one.
+    """
 
-def _content(codes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each position's window as two numbers that hold it exactly (up to 64 letters)."""
-    half = window // 2
-    left, right = _words(codes, half) if half else None, _words(codes, window - half)
-    n = len(codes) - window + 1
-    return (left[:n] if left is not None else np.zeros(n, np.uint64)), right[half : half + n]
+    def __init__(self, letters: np.ndarray, window: int):
+        width = min(32, window)
+        self.words = _words(letters, width)
+        self.steps = [*range(0, window - width, width), window - width]
+
+    def hashed(self, at: np.ndarray) -> np.ndarray:
+        x = self.words[at + self.steps[0]]
+        for s in self.steps[1:]:
+            x = _scatter(x) ^ (self.words[at + s] * np.uint64(0xFF51AFD7ED558CCD))
+        return _scatter(x)
+
+    def group(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window numbers ordered by content, and where each content begins."""
+        mixed = self.hashed(at)
+        by = np.argsort(mixed, kind="stable")
+        new = np.ones(len(by), bool)
+        if len(by) > 1:
+            m, place = mixed[by], at[by]
+            alike = m[1:] == m[:-1]
+            same = alike.copy()
+            for s in self.steps:
+                x = self.words[place + s]
+                same &= x[1:] == x[:-1]
+            if np.any(alike & ~same):
+                # Different windows of one hash: order by the content itself.
+                by = np.lexsort([self.words[at + s] for s in self.steps])
+                same = np.ones(len(by) - 1, bool)
+                for s in self.steps:
+                    x = self.words[at[by] + s]
+                    same &= x[1:] == x[:-1]
+            new[1:] = ~same
+        return by, np.flatnonzero(new)
 
 
 def _send(window: int, buckets: int, hot: np.ndarray, lanes: int):
     """Stretches of windows with one bucket; of hot buckets single windows, one of each content."""
-    is_hot = np.zeros(buckets, bool)
-    is_hot[hot] = True
+    hot = np.sort(hot)
+
+    def overfull(bucket: np.ndarray) -> np.ndarray:
+        if not len(hot):
+            return np.zeros(len(bucket), bool)
+        at = np.searchsorted(hot, bucket)
+        return hot[np.minimum(at, len(hot) - 1)] == bucket
 
     def pieces(bucket: np.ndarray, head: np.ndarray, codes: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
         """One row a bucket: how many pieces, their heads, then their letters."""
@@ -180,7 +250,7 @@ def _send(window: int, buckets: int, hot: np.ndarray, lanes: int):
                     continue
                 bucket = w.buckets(buckets)
                 row = rows_of(offsets, w.at)
-                plain = ~is_hot[bucket]
+                plain = ~overfull(bucket)
                 at, own, bk = w.at[plain], row[plain], bucket[plain]
                 if len(at):
                     new = np.ones(len(at), bool)
@@ -202,8 +272,8 @@ def _send(window: int, buckets: int, hot: np.ndarray, lanes: int):
                         yield pieces(bk[edge], head, codes, at[edge])
                 at, own = w.at[~plain], row[~plain]
                 if len(at):
-                    hi, lo = (x[at] for x in _content(codes & 3, window))
-                    by, edge = _group((hi, lo))
+                    contents = _Contents(codes & 3, window)
+                    by, edge = contents.group(at)
                     read = ids[own[by]]
                     low, high = np.minimum.reduceat(read, edge), np.maximum.reduceat(read, edge)
                     size = np.diff(np.append(edge, len(by)))
@@ -214,7 +284,7 @@ def _send(window: int, buckets: int, hot: np.ndarray, lanes: int):
                     send = by[go]
                     head = np.zeros(len(send), HEAD)
                     head["read"], head["start"], head["n"], head["flag"] = read[go], at[send] - offsets[own[send]], 1, here[go]
-                    lane = (_scatter(hi[send] + _scatter(lo[send])) >> np.uint64(33)).astype(np.int64) % lanes
+                    lane = (contents.hashed(at[send]) >> np.uint64(33)).astype(np.int64) % lanes
                     yield pieces((buckets + lane).astype(np.int32), head, codes, at[send])
                     # The others are settled: shared, and an earlier read has them.
                     done = by[~go]
@@ -253,20 +323,19 @@ def _meet(window: int, settled: int):
         return pa.RecordBatch.from_arrays([pa.array(read[edge]), pa.array(start[edge].astype(np.int32)), pa.array((start[edge] + n - 1 + window).astype(np.int32)), pa.array(later[edge])], names=["read_id", "start", "stop", "later"])
 
     def meet(payloads: list[bytes]) -> pa.RecordBatch | None:
-        his, los, reads, starts, flags = [], [], [], [], []
+        texts, places, reads, starts, flags, before = [], [], [], [], [], 0
         for p in payloads:
             head, letters, first = _unpack(p, window)
-            hi, lo = _content(letters, window)
             n = head["n"].astype(np.int64)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(first, n) + step
-            his.append(hi[at])
-            los.append(lo[at])
+            texts.append(letters)
+            places.append(np.repeat(first, n) + step + before)
+            before += len(letters)
             reads.append(np.repeat(head["read"], n))
             starts.append(np.repeat(head["start"], n) + step)
             flags.append(np.repeat(head["flag"], n) > 0)
         read, start, flag = np.concatenate(reads), np.concatenate(starts), np.concatenate(flags)
-        by, edge = _group((np.concatenate(his), np.concatenate(los)))
+        by, edge = _Contents(np.concatenate(texts), window).group(np.concatenate(places))
         size = np.diff(np.append(edge, len(by)))
         many = np.flatnonzero(size > 1)
         alone = by[edge[size == 1]]
@@ -306,26 +375,32 @@ def _meet(window: int, settled: int):
     return run
 
 
-def shared_stretches(reads: DataFrame, window: int = 60, id_col: str = "read_id", seq: str = "seq", windows_per_bucket: int = 250_000, buckets_per_task: int = 4) -> DataFrame:
+def shared_stretches(reads: DataFrame, window: int = 60, id_col: str = "read_id", seq: str = "seq", windows_per_bucket: int = 250_000, buckets_per_task: int = 4, hot_bound: int = HOT_BOUND) -> DataFrame:
     """Stretches of windows that stand in another read too: ``read_id, start, stop, later``.
 
     ``later`` marks stretches whose every window a read of smaller id has as
     well (a repeated span that isn't the first).  Stretches of one read may
     overlap; see :func:`covered_spans`.
 
-    ``window`` is at most 64.  Case is ignored; a window holding a letter other
-    than A, C, G, T isn't compared.  Reads with null id, or with null, empty or
-    too short sequences have no rows.  Rows of one id count as one read.
+    ``window`` is 2 letters or more.  Case is ignored; a window holding a letter
+    other than A, C, G, T isn't compared.  Reads with null id, or with null, empty
+    or too short sequences have no rows.  Rows of one id count as one read.
+
+    Tasks hold a bucket's windows, a range's counts, and the list of overfull
+    buckets, which has ``hot_bound`` entries at most; nothing else grows with the
+    reads.
     """
-    if not 2 <= window <= 64:
-        raise ValueError("window must be between 2 and 64")
+    if window < 2:
+        raise ValueError("window must be 2 or more")
     spark = reads.sparkSession
     rows = reads.select(F.col(id_col).cast("long").alias("read_id"), F.col(seq).cast("string").alias("seq")).where(F.col("read_id").isNotNull() & (F.length("seq") >= window))
     letters = rows.agg(F.sum(F.length("seq"))).first()[0] or 0
     buckets = shuffle_width(spark, letters, windows_per_bucket)
-    census = rows.mapInArrow(_census(window, buckets), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    # At most letters / (4 * windows_per_bucket) buckets can be overfull.
-    hot = np.array([r[0] for r in census.where(F.col("n") > 4 * windows_per_bucket).collect()], np.int64)
+    span = min(SPAN, -(-buckets // RANGES))
+    ranges = -(-buckets // span)
+    counts = rows.mapInArrow(_census(window, buckets, span), PIECE).repartition(shuffle_width(spark, ranges, RANGES), "bucket").sortWithinPartitions("bucket")
+    overfull = counts.mapInArrow(_tally(span, 4 * windows_per_bucket), "bucket int, n long")
+    hot = np.array([r[0] for r in overfull.orderBy(F.desc("n"), "bucket").limit(hot_bound).collect()], np.int32)
     width = shuffle_width(spark, buckets, buckets_per_task)
     sent = rows.mapInArrow(_send(window, buckets, hot, buckets), PIECE)
     return sent.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(window, 2 * buckets), STRETCH)
@@ -353,3 +428,20 @@ def shared_letters(reads: DataFrame, stretches: DataFrame, id_col: str = "read_i
     base = reads.select(F.col(id_col).cast("long").alias("read_id"), F.coalesce(F.length(seq), F.lit(0)).cast("long").alias("n_letters"))
     joined = base.join(per_read, "read_id", "left").join(later, "read_id", "left")
     return joined.select("read_id", "n_letters", F.coalesce("n_shared", F.lit(0)).alias("n_shared"), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"))
+
+
+def without_repeated(reads: DataFrame, stretches: DataFrame, id_col: str = "read_id", seq: str = "seq") -> DataFrame:
+    """Reads without the letters covered by any non-first repeated span: ``read_id, seq, n_removed``.
+
+    Every row keeps its row; where nothing is removed ``seq`` stays as it is, null
+    included.  What stands before, between and after removed spans is joined.
+    """
+    later = covered_spans(stretches.where("later")).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("span_start", "span_len"))).alias("gone"))
+    base = reads.select(F.col(id_col).cast("long").alias("read_id"), F.col(seq).cast("string").alias("seq"))
+    joined = base.join(later, "read_id", "left")
+    # Kept pieces: from each removed span's end to the next one's start.
+    edges = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["span_start"] + g["span_len"]))
+    starts = F.concat(F.transform("gone", lambda g: g["span_start"]), F.array(F.length("seq")))
+    kept = F.zip_with(edges, starts, lambda a, z: F.substring(F.col("seq"), a + 1, z - a))
+    size = F.aggregate("gone", F.lit(0), lambda n, g: n + g["span_len"])
+    return joined.select("read_id", F.when(F.col("gone").isNull(), F.col("seq")).otherwise(F.array_join(kept, "")).alias("seq"), F.coalesce(size, F.lit(0)).alias("n_removed"))

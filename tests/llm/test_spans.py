@@ -56,7 +56,7 @@ def made(seed, n=60, adapter="ACGTTGCAGGCTAACCGTAGGATC"):
     return rows + rows[:4]
 
 
-@pytest.mark.parametrize("window,per_bucket", [(20, 250_000), (20, 3), (33, 2), (60, 1)])
+@pytest.mark.parametrize("window,per_bucket", [(20, 250_000), (20, 3), (33, 2), (60, 1), (71, 2)])
 def test_against_brute_force(spark, window, per_bucket):
     """Small buckets make adapters overfull, so that the routing by content is used."""
     rows = made(window)
@@ -81,4 +81,22 @@ def test_empty_table_and_bounds(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert spans.shared_stretches(df).count() == 0
     with pytest.raises(ValueError):
-        spans.shared_stretches(df, 65)
+        spans.shared_stretches(df, 1)
+
+
+def test_windows_of_any_length_and_a_bound_on_the_overfull(spark):
+    rnd = random.Random(8)
+    text = "".join(rnd.choice("ACGT") for _ in range(700))
+    rows = [(1, text), (2, text[100:500] + "N" + text[:90]), (3, text[:320]), (4, "ACGT" * 100), (5, "ACGT" * 90)]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA)
+    for window in (64, 65, 150, 300):
+        want, _ = brute(rows, window)
+        for bound in (0, 2, 100):
+            assert {tuple(r) for r in spans.covered_spans(spans.shared_stretches(df, window, windows_per_bucket=1, hot_bound=bound)).collect()} == want
+
+
+def test_removal_leaves_one_copy(spark):
+    rows = [(1, "ttGATTACAGATTACA"), (2, "CCGATTACAGATTACACCgattacagaCC"), (3, None), (4, ""), (5, "GGGG")]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA)
+    got = {r["read_id"]: (r["seq"], r["n_removed"]) for r in spans.without_repeated(df, spans.shared_stretches(df, 8)).collect()}
+    assert got == {1: ("ttGATTACAGATTACA", 0), 2: ("CCCCCC", 23), 3: (None, 0), 4: ("", 0), 5: ("GGGG", 0)}
