@@ -16,6 +16,10 @@ from .bpe import Transducer, decode, load_ranks
 TOKENIZERS = "/opt/tokenizers"
 
 
+#: The tokenizers whose texts are split by PIECES before merging; others have rules of their own.
+NAMES = ("byte_bpe_50k", "byte_bpe_multi_50k")
+
+
 @lru_cache(maxsize=2)
 def transducer(folder: str, name: str) -> Transducer:
     """One transducer for each worker process; its tables fill as texts come."""
@@ -65,7 +69,9 @@ def _same(folder: str, name: str):
     return run
 
 
-def _two(documents: DataFrame, id_col: str, text: str) -> tuple[DataFrame, str]:
+def _two(documents: DataFrame, name: str, id_col: str, text: str) -> tuple[DataFrame, str]:
+    if name not in NAMES:
+        raise ValueError(f"{name} isn't one of {', '.join(NAMES)}")
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows, rows.schema["doc_id"].dataType.simpleString()
 
@@ -77,17 +83,17 @@ def encoded(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKE
     independent, so there is no shuffle.  The vocabulary is read in the workers
     from ``folder``/``name``.tiktoken.
     """
-    rows, kind = _two(documents, id_col, text)
+    rows, kind = _two(documents, name, id_col, text)
     return rows.mapInArrow(_encode(folder, name), f"doc_id {kind}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens``; 0 for empty and null texts."""
-    rows, kind = _two(documents, id_col, text)
+    rows, kind = _two(documents, name, id_col, text)
     return rows.mapInArrow(_count(folder, name), f"doc_id {kind}, n_tokens int")
 
 
 def round_trips(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, same``: whether decoding the ids as a stream gives the text back (null as empty)."""
-    rows, kind = _two(documents, id_col, text)
+    rows, kind = _two(documents, name, id_col, text)
     return rows.mapInArrow(_same(folder, name), f"doc_id {kind}, n_tokens int, same boolean")

@@ -61,7 +61,9 @@ _WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 #: Without spaces, a change of script parts words.
 _WIDE_WORDS = regex.compile(r"\p{Han}+|[\p{Katakana}ー]+|\p{Hiragana}+|[^\W\d_\p{Han}\p{Katakana}\p{Hiragana}ー]+")
 
-TOKENS = "doc_id long, label int, fold int, ends array<int>, features array<int>"
+TOKENS = "doc_id long, label long, fold int, ends array<int>, features array<int>"
+#: Most subject areas, as each takes a bit of a label.
+MOST_AREAS = 61
 
 
 class Featurizer:
@@ -349,16 +351,16 @@ def labels_by_document(labels: DataFrame, areas: DataFrame, bound: int = LABELLE
     names = sorted(r[0] for r in areas.select("subject").where("subject is not null").distinct().collect())
     clean = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[\s ]+", " ")))
     keys = areas.where("subject is not null").select(clean(F.col("subject")).alias("k"), "subject").unionByName(areas.where("subject is not null and title is not null").select(clean(F.col("title")).alias("k"), "subject")).distinct()
-    position = F.element_at(F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(1 << i))]), F.col("subject")) if names else F.lit(0)
+    position = F.element_at(F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(1 << i).cast("long"))]), F.col("subject")) if names else F.lit(0).cast("long")
     given = labels.where("doc_id is not null").select("doc_id", clean(F.col("subject")).alias("k"))
     # The areas are a fixed list of a few rows.
-    matched = given.join(F.broadcast(keys), "k", "left").select("doc_id", F.when(F.col("k").isNull(), F.lit(0)).otherwise(position).alias("bit")).where("bit is not null")
+    matched = given.join(F.broadcast(keys), "k", "left").select("doc_id", F.when(F.col("k").isNull(), F.lit(0).cast("long")).otherwise(position).alias("bit")).where("bit is not null")
     bits = matched.groupBy("doc_id").agg(F.bit_or("bit").alias("bits"))
-    per = bits.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("bits") == 0, F.lit(1 << len(names))).otherwise(F.col("bits")).cast("int").alias("label"))
+    per = bits.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("bits") == 0, F.lit(1 << len(names)).cast("long")).otherwise(F.col("bits")).alias("label"))
     return per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = 3, share: float = SHARE, bound: int = LABELLED, calibration: int = CALIBRATION) -> DataFrame:
+def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = 3, share: float = SHARE, bound: int = LABELLED, calibration: int = CALIBRATION, settled: float = 0.002) -> DataFrame:
     """Subject areas of each document: ``doc_id, subject, n_content, n_about, posterior``.
 
     One row for each subject that ``share`` or more of the document's content
@@ -367,6 +369,9 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, round
     documents of nothing but furniture have no row; repeated ids are documents of
     their own.  Without labels, or without areas, there are no rows.
 
+    EM ends when a round moves less than ``settled`` of all words to another class,
+    after ``rounds`` rounds at the latest.  There may be MOST_AREAS areas at most.
+
     Only the labels are sampled (``bound``); word counts and EM cover all
     sentences of all documents.  The driver holds the model: VOCABULARY words by
     the number of subjects.
@@ -377,12 +382,14 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, round
     nothing = "doc_id long, subject string, n_content int, n_about int, posterior double"
     if not n:
         return spark.createDataFrame([], nothing)
+    if n > MOST_AREAS:
+        raise ValueError(f"at most {MOST_AREAS} subject areas")
     known = labels_by_document(labels, areas, bound)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
     # At most ``bound`` rows of 12 bytes.
     joined = texts.join(F.broadcast(known), "doc_id", "left")
     fold = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(calibration)).cast("int")
-    tokens = materialize(joined.select("doc_id", F.coalesce("label", F.lit(-1)).alias("label"), fold.alias("fold"), "text").mapInArrow(_tokenize, TOKENS))
+    tokens = materialize(joined.select("doc_id", F.coalesce("label", F.lit(-1).cast("long")).alias("label"), fold.alias("fold"), "text").mapInArrow(_tokenize, TOKENS))
     sc = spark.sparkContext
     counts, seen_in = _gather(tokens, n, None)
     if not counts.any():
@@ -390,8 +397,10 @@ def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, round
     bare = counts[:, n] > 0
     model = sc.broadcast(Model(counts, seen_in, bare))
     for _ in range(rounds):
-        counts, _unused = _gather(tokens, n, model)
+        before, (counts, _unused) = counts, _gather(tokens, n, model)
         model = sc.broadcast(Model(counts, seen_in, bare))
+        if np.abs(counts / max(counts.sum(), 1e-9) - before / max(before.sum(), 1e-9)).sum() / 2 < settled:
+            break
     bins = np.zeros((n, 2, BINS))
     for c, y, at, k in tokens.where("label >= 0 and fold = 0").mapInArrow(_score_bins(n, model), "c int, y int, bin int, n long").groupBy("c", "y", "bin").agg(F.sum("n")).collect():
         bins[c, y, at] = k

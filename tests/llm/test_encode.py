@@ -60,3 +60,8 @@ def test_rows_nulls_and_clashing_columns(spark, reference):
     assert encode.round_trips(df, folder=FOLDER).where("not same").count() == 0
     assert {(r[0], r[1]) for r in encode.token_counts(df, folder=FOLDER).collect()} == {(i, len(reference(x or ""))) for i, x, _ in rows}
     assert encode.encoded(df.limit(0), folder=FOLDER).count() == 0
+
+
+def test_other_tokenizers_are_refused(spark):
+    with pytest.raises(ValueError):
+        encode.encoded(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "piece_bpe_32k")
