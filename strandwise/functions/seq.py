@@ -21,13 +21,6 @@ def hpc(s: Column) -> Column:
     return F.regexp_replace(s, r"(.)\1+", "$1")
 
 
-def hpc_positions(s: Column) -> Column:
-    """0-based starts of the runs, then the length of the text; empty for ''."""
-    n = F.length(s)
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.substring(s, i, F.lit(1)) != F.substring(s, i - 1, F.lit(1))))
-    return F.when(n > 0, F.concat(F.transform(starts, lambda i: i - 1), F.array(n))).otherwise(F.array().cast("array<int>"))
-
-
 def revcomp(s: Column) -> Column:
     """Reverse complement of A, C, G, T; other letters stay."""
     return F.reverse(F.translate(s, "ACGT", "TGCA"))
@@ -43,38 +36,6 @@ def base_codes(s: Column) -> Column:
     return F.translate(s, *CODED)
 
 
-def kmers(s: Column, k: int) -> Column:
-    """All words of ``k`` letters, in order."""
-    n = F.length(s)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-
-
-def canonical(word: Column) -> Column:
-    """The smaller of a word and its reverse complement, compared by base numbers."""
-    return F.translate(F.least(F.translate(word, *CODED), F.translate(revcomp(word), *CODED)), CODED[1], CODED[0])
-
-
-def canonical_kmers(s: Column, k: int) -> Column:
-    """Canonical words; those holding a letter other than A, C, G, T are left out."""
-    return F.transform(F.filter(kmers(s, k), lambda w: F.translate(w, "ACGT", "") == ""), canonical)
-
-
-def mean_error(qual: Column) -> Column:
-    """Mean error probability of Phred+33 letters; null for null or ''."""
-    errors = F.transform(F.split(qual, ""), lambda c: F.pow(F.lit(10.0), -(F.ascii(c) - 33) / 10.0))
-    return F.when(F.length(qual) > 0, F.aggregate(errors, F.lit(0.0), lambda a, x: a + x) / F.length(qual))
-
-
-def mean_quality(qual: Column) -> Column:
-    """Quality of the mean error; null for null or ''."""
-    return -10 * F.log10(mean_error(qual))
-
-
-def min_quality(qual: Column, start: Column, length: int) -> Column:
-    """Least Phred quality of ``length`` letters from the 0-based ``start`` on."""
-    return F.array_min(F.transform(F.split(F.substring(qual, start + 1, F.lit(length)), ""), lambda c: F.ascii(c) - 33))
-
-
 def normalized(km: Column) -> Column:
     """The smaller of a k-min-mer and its reverse."""
     return F.least(km, F.reverse(km))
@@ -144,6 +105,16 @@ def valid_overlap(q_start: Column, q_end: Column, q_len: Column, t_start: Column
     return F.coalesce(~rev & (t_start >= q_start) & hangs & ~contained & long, F.lit(False))
 
 
+def spans_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column, tolerance: int = 0) -> Column:
+    """Whether two spans have more than ``tolerance`` positions in common; false where one is unknown."""
+    return F.coalesce(F.least(a_end, b_end) - F.greatest(a_start, b_start) > tolerance, F.lit(False))
+
+
+def span_within(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """Whether the first span lies in the second; false where one is unknown."""
+    return F.coalesce((a_start >= b_start) & (a_end <= b_end), F.lit(False))
+
+
 def maximal_mapping(q_start: Column, q_end: Column, q_len: Column, t_start: Column, t_end: Column, t_len: Column, rev: Column, tolerance: int = 300) -> Column:
     """Whether the alignment ends within ``tolerance`` of an end on both sides."""
     _, _, ext5, ext3 = extensions(q_start, q_end, q_len, t_start, t_end, t_len, rev)

@@ -63,7 +63,7 @@ def without_low_complexity(contigs: DataFrame, score: float = 8, coverage: float
     return contigs.join(c, "contig").where(~bad).drop("max_score")
 
 
-def trim_overlaps(contigs: DataFrame, k: int, rounds: int = 10) -> DataFrame:
+def trim_overlaps(contigs: DataFrame, k: int) -> DataFrame:
     """Contigs ``contig, minimizers`` with ends trimmed that a contig at least as long has.
 
     An end is trimmed by its run of k-min-mers on one diagonal of the other contig;
@@ -72,7 +72,7 @@ def trim_overlaps(contigs: DataFrame, k: int, rounds: int = 10) -> DataFrame:
     """
     scratch = Scratch(contigs.sparkSession)
     now = scratch.keep(contigs.select("contig", "minimizers"))
-    for _ in range(rounds):
+    while True:
         sized = now.select("contig", F.size("minimizers").alias("n"))
         rows = km.kminmer_rows(now, k, "contig").join(sized, "contig")
         a = rows.select(F.col("contig").alias("a"), F.col("i").alias("ref_pos"), "km", F.col("is_rev").alias("ra"), F.col("n").alias("na"))
@@ -190,6 +190,127 @@ def dereplicated(contigs: DataFrame, matches: DataFrame, identity: float = 0.9,
     return joined.where(start < stop).withColumn("seq", F.substring("seq", start + 1, stop - start)).drop("left", "right")
 
 
+def mapped(queries: DataFrame, references: DataFrame, length: int = 15, density: float = 0.05, least: int = 3, fraction: float = minimize.REPETITIVE, itself: bool = False) -> DataFrame:
+    """Where sequences ``id, seq`` lie on others: chains of common minimizer pairs, measured.
+
+    ``query, reference, same_strand, score, n_anchors, r_start, r_end, q_start,
+    q_end`` (places of minimizers), and what :func:`align.chain_alignments` adds.
+    Repetitive minimizers of the references anchor nothing.  Sequences are mapped to
+    those of another id; ``itself`` says that both are the same table.
+    """
+    scratch = Scratch(queries.sparkSession)
+
+    def minimized(rows: DataFrame) -> DataFrame:
+        plain = rows.select(F.col("id").cast("long").alias("read_id"), "seq", F.lit(None).cast("string").alias("qual"))
+        return scratch.keep(minimize.minimizer_reads(plain, length, density).select("read_id", "minimizers", "pos", "read_len"))
+
+    r = minimized(references)
+    q = r if itself else minimized(queries)
+    banned = scratch.keep(minimize.repetitive_minimizers(scratch.keep(minimize.minimizer_counts(r)), fraction))
+    pairs = scratch.keep(overlaps.pair_rows(minimize.without_repetitive(r, banned)))
+    asked = pairs if itself else overlaps.pair_rows(minimize.without_repetitive(q, banned))
+    found = align.chained(overlaps.anchors(asked, pairs, exclude_self=itself), least)
+    sizes = lambda m, name: m.select(F.col("read_id").alias(name), F.col("read_len").alias(f"{name}_len"), F.size("minimizers").alias(f"{name}_n"))
+    return align.chain_alignments(found, sizes(q, "query"), length, sizes(r, "reference"))
+
+
+def self_overlaps(sequences: DataFrame, length: int = 15, density: float = 0.05, near: int = 50, least: int = 3) -> DataFrame:
+    """Sequences ``id, seq`` whose end repeats their beginning: ``id, overlap`` in bases, up to ``near`` at either end."""
+    rows = sequences.select(F.col("id").cast("long").alias("read_id"), "seq", F.lit(None).cast("string").alias("qual"))
+    m = Scratch(sequences.sparkSession).keep(minimize.minimizer_reads(rows, length, density).select("read_id", "minimizers", "pos", "read_len"))
+    pairs = overlaps.pair_rows(m)
+    behind = overlaps.anchors(pairs, pairs).where("query = reference and same_strand and r_pos > q_pos")
+    found = align.chained(behind, least).join(m.select(F.col("read_id").alias("query"), "read_len"), "query")
+    ends = found.where((F.col("q_start") <= near + 1 / density) & (F.col("read_len") - F.col("r_end") <= near + length + 1 / density))
+    return ends.groupBy(F.col("query").alias("id")).agg(F.max(F.col("read_len") - F.col("r_start") + F.col("q_start")).alias("overlap"))
+
+
+def ends_without_cover(contigs: DataFrame, alignments: DataFrame, length: int = 15) -> DataFrame:
+    """Contigs ``contig, seq`` cut to what alignments of :func:`mapped` cover; those nothing covers stay whole."""
+    spans = alignments.select(F.col("reference").alias("contig"), F.greatest(F.col("r_start") - F.least("q_start", F.lit(length)), F.lit(0)).alias("start"), (F.col("r_end") + length).alias("end"))
+    ends = intervals.trim_ends(spans, contigs.select("contig", F.length("seq").alias("length")), "contig", "start", "end")
+    joined = contigs.join(ends, "contig", "left")
+    return joined.withColumn("seq", F.when(F.col("trim_start").isNull(), F.col("seq")).otherwise(F.substring("seq", F.col("trim_start") + 1, F.col("trim_end") - F.col("trim_start")))).drop("trim_start", "trim_end")
+
+
+def read_paths(contigs: DataFrame, mreads: DataFrame, least: int = 2) -> DataFrame:
+    """Reads on contigs ``contig, minimizers`` in minimizer space: chains with the places of their anchors.
+
+    Positions are places in the sequences of minimizers; the best chain of a read
+    counts (most anchors, then the smaller contig).
+    """
+    scratch = Scratch(contigs.sparkSession)
+    numbered = lambda rows, name: rows.select(F.col(name).cast("long").alias("read_id"), "minimizers", F.transform("minimizers", lambda _, i: i).alias("pos"))
+    r = scratch.keep(overlaps.pair_rows(numbered(contigs, "contig")))
+    q = overlaps.pair_rows(numbered(mreads, "read_id"))
+    found = align.chained(overlaps.anchors(q, r), least)
+    return overlaps.best_mapping(found, "query", [F.desc("n_anchors"), F.desc("score"), F.asc("reference"), F.desc("same_strand")])
+
+
+PIECE = "contig long, i int, j int, text string, lead int, tail int"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A read's letters between each two neighbouring anchors of its chain, on the contig's strand."""
+    flip = str.maketrans("ACGT", "TGCA")
+    for b in batches:
+        out = []
+        for contig, same, r_at, q_at, start, stop, text in zip(*(b.column(k).to_pylist() for k in range(7))):
+            for i, j, a, z in zip(r_at, r_at[1:], q_at, q_at[1:]):
+                first, last = (a, z) if same else (z, a)
+                piece = text[start[first] : stop[last]]
+                out.append((contig, i, j, piece if same else piece.translate(flip)[::-1], stop[a] - start[a], stop[z] - start[z]))
+        columns = list(zip(*out)) or [[]] * 6
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["contig", "i", "j", "text", "lead", "tail"])
+
+
+def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each contig's letters: the way over its pieces that gets farthest, then has most votes."""
+    for b in batches:
+        out = []
+        for ring, pieces in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            ahead: dict[int, list] = {}
+            for x in pieces:
+                ahead.setdefault(x["i"], []).append(x)
+            best: dict[int, tuple] = {}
+            for i in sorted(ahead, reverse=True):
+                ways = [((best[x["j"]][0] if x["j"] in best else x["j"]) - i, x["n"] + (best[x["j"]][1] if x["j"] in best else 0), -x["j"], x) for x in ahead[i]]
+                far, n, _, x = max(ways, key=lambda w: w[:3])
+                best[i] = (far + i, n, x)
+            # The longest way begins where most is reached; the first of equal ones.
+            at = max(best, key=lambda i: (best[i][0] - i, -i))
+            text, x = [], None
+            while at in best:
+                x = best[at][2]
+                text.append(x["text"] if not text else x["text"][x["lead"] :])
+                at = x["j"]
+            whole = "".join(text)
+            out.append(whole[: len(whole) - x["tail"]] if ring else whole)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["contig", "seq"])
+
+
+def laid_out(contigs: DataFrame, mreads: DataFrame, reads: DataFrame) -> DataFrame:
+    """Base sequences of contigs ``contig, minimizers, circular``: ``contig, seq``.
+
+    ``mreads``: ``read_id, minimizers, start, stop``, the latter being where each
+    minimizer lies in the read's letters.  Reads are laid along the contigs; what
+    they have between two anchors counts as a vote for these letters there, and a
+    contig is spelled along the pieces that lead farthest, by votes.  Pieces share
+    their anchor's letters, whose number is known in each read.  A ring, whose first
+    minimizer is repeated at its end, is closed there.  Contigs without a piece have
+    no row.
+    """
+    paths = read_paths(contigs, mreads)
+    letters = reads.select(F.col("read_id").alias("query"), F.upper("seq").alias("seq"))
+    rows = paths.select("query", "reference", "same_strand", "r_at", "q_at").join(mreads.select(F.col("read_id").alias("query"), "start", "stop"), "query").join(letters, "query")
+    pieces = rows.select("reference", "same_strand", "r_at", "q_at", "start", "stop", "seq").mapInArrow(_pieces, PIECE)
+    votes = pieces.where("j > i").groupBy("contig", "i", "j", "text").agg(F.count("*").alias("n"), F.min("lead").alias("lead"), F.min("tail").alias("tail"))
+    best = votes.groupBy("contig", "i", "j").agg(F.min(F.struct((-F.col("n")).alias("m"), (-F.length("text")).alias("s"), "text", "lead", "tail")).alias("v"))
+    gathered = best.groupBy("contig").agg(F.collect_list(F.struct("i", "j", (-F.col("v.m")).alias("n"), "v.text", "v.lead", "v.tail")).alias("pieces"))
+    return gathered.join(contigs.select("contig", "circular"), "contig").select("contig", "circular", "pieces").mapInArrow(_layout, "contig long, seq string")
+
+
 def window_pieces(contig_length: int, ref: np.ndarray, query: np.ndarray, same: bool, read: str, window: int, anchor: int) -> Iterator[tuple[int, str]]:
     """A read's letters over each whole window its chain spans, cut at anchors by interpolation."""
     if same is False:

@@ -26,6 +26,37 @@ def mean_depth(intervals: DataFrame, lengths: DataFrame, key: str, start: str, e
     return lengths.join(covered, key, "left").select(key, (F.coalesce("_s", F.lit(0)) / F.col("length")).alias("coverage"))
 
 
+def inner_depth(intervals: DataFrame, lengths: DataFrame, key: str, start: str, end: str, margin: int = 75, shortest: int = 160) -> DataFrame:
+    """``key, coverage``: depth summed over the positions ``margin`` away from either end, over the whole length, as an integer.
+
+    Sequences shorter than ``shortest`` have coverage 1; positions nothing covers count 0.
+    """
+    good = intervals.where(F.col(key).isNotNull() & (F.col(start) < F.col(end))).select(key, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    inside = F.greatest(F.least("_e", F.col("length") - margin) - F.greatest("_s", F.lit(margin)), F.lit(0))
+    summed = lengths.join(good, key, "left").groupBy(key, "length").agg(F.sum(inside).alias("_n"))
+    return summed.select(key, F.when(F.col("length") < shortest, F.lit(1)).otherwise(F.floor(F.coalesce("_n", F.lit(0)) / F.col("length"))).cast("long").alias("coverage"))
+
+
+def tenth(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, tenth``: of the n values in order the one at ``floor(n / 10)``; nulls don't count.
+
+    Equal values are counted together before they are put in order.
+    """
+    each = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_m"))
+    order = Window.partitionBy(key).orderBy(value)
+    run = each.withColumn("_to", F.sum("_m").over(order)).withColumn("_all", F.sum("_m").over(Window.partitionBy(key)))
+    return run.where(F.col("_to") > F.floor(F.col("_all") / 10)).groupBy(key).agg(F.min(value).alias("tenth"))
+
+
+def end_runs(runs: DataFrame, last_a: str, last_b: str) -> DataFrame:
+    """Runs of :func:`diagonal_runs` that touch an end of either sequence.
+
+    ``last_a`` and ``last_b`` name the sequences' last positions; ``q_start`` is the
+    run's least position on the second.
+    """
+    return runs.where((F.col("start") == 0) | (F.col("end") == F.col(last_a)) | (F.col("q_start") == 0) | (F.col("q_start") + F.col("end") - F.col("start") == F.col(last_b)))
+
+
 def regions(steps: DataFrame, key: str, condition: Column) -> DataFrame:
     """Maximal stretches whose depth meets ``condition``: ``key, start, end``."""
     order = Window.partitionBy(key).orderBy("from_pos")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.flat import BASE, UPPER, flat_letters, rows_of, slices
+from ..session import materialize
 
 MREADS = "read_id long, minimizers array<bigint>, pos array<int>, dir array<tinyint>, qual array<tinyint>, mean_q double, read_len int"
 #: Alphabetical base number to the number with which k-mers are compared (A 0, C 1, T 2, G 3).
@@ -250,6 +251,15 @@ def sequence_complexity(reads: DataFrame, window: int = 64, step: int = 32) -> D
     return rows.mapInArrow(_complexity(window, step), "read_id long, mean_score double, max_score double")
 
 
+def filtered(b: pa.RecordBatch, values: pa.ListArray, keep: np.ndarray) -> pa.RecordBatch:
+    """The batch with the kept elements of its list columns, which are as long as ``values``."""
+    base = values.offsets.to_numpy() - values.offsets[0].as_py()
+    cuts = pa.array(np.append(0, np.cumsum(keep))[base].astype(np.int32))
+    mask = pa.array(keep)
+    out = [pa.ListArray.from_arrays(cuts, c.flatten().filter(mask)) if pa.types.is_list(c.type) else c for c in b.columns]
+    return pa.RecordBatch.from_arrays(out, names=b.schema.names)
+
+
 def lower_density(mreads: DataFrame, density: float) -> DataFrame:
     """Keep the minimizers that a lower density would have selected, all arrays aligned."""
 
@@ -257,12 +267,7 @@ def lower_density(mreads: DataFrame, density: float) -> DataFrame:
         bound = density_bound(density)
         for b in batches:
             values = b.column("minimizers")
-            keep = murmur64(values.flatten().to_numpy(zero_copy_only=False).view(np.uint64)).astype(np.float64) < bound
-            base = values.offsets.to_numpy() - values.offsets[0].as_py()
-            cuts = pa.array(np.append(0, np.cumsum(keep))[base].astype(np.int32))
-            mask = pa.array(keep)
-            out = [pa.ListArray.from_arrays(cuts, c.flatten().filter(mask)) if pa.types.is_list(c.type) else c for c in b.columns]
-            yield pa.RecordBatch.from_arrays(out, names=b.schema.names)
+            yield filtered(b, values, murmur64(values.flatten().to_numpy(zero_copy_only=False).view(np.uint64)).astype(np.float64) < bound)
 
     return mreads.mapInArrow(run, mreads.schema)
 
@@ -272,17 +277,55 @@ def minimizer_counts(mreads: DataFrame) -> DataFrame:
     return mreads.select(F.explode("minimizers").alias("minimizer")).groupBy("minimizer").agg(F.count("*").alias("n"))
 
 
-def repetitive_minimizers(counts: DataFrame, fraction: float = 1e-5) -> DataFrame:
-    """The most frequent ``fraction`` of distinct minimizers, at least one; ties by value."""
-    least = max(1, int(counts.count() * fraction))
-    return counts.orderBy(F.desc("n"), "minimizer").limit(least)
+#: Share of the distinct minimizers that counts as repetitive.
+REPETITIVE = 1e-5
+#: Different counts that are looked at from the top; so many distinct minimizers at least are more frequent than the rest.
+FREQUENT = 1_000_000
+#: Repetitive minimizers that are handed to every task (eight bytes each); beyond that they are joined.
+HANDED = 2_000_000
 
 
-def without_repetitive(mreads: DataFrame, repetitive: DataFrame) -> DataFrame:
-    """Reads without their repetitive minimizers, in order.
+def repetitive_minimizers(counts: DataFrame, fraction: float = REPETITIVE) -> DataFrame:
+    """The most frequent ``fraction`` of distinct minimizers, at least one; ties by value.
 
-    ``repetitive`` is the bounded top fraction of :func:`repetitive_minimizers`.
+    How many there are of each count is added up first, so that only those of the
+    last count taken are put in order.
+    """
+    each = counts.groupBy("n").agg(F.count("*").alias("m"))
+    sizes = [(r["n"], r["m"]) for r in each.orderBy(F.desc("n")).limit(FREQUENT).collect()]
+    left = max(1, int(counts.count() * fraction))
+    for n, m in sizes:
+        if m > left:
+            return counts.where(F.col("n") > n).unionByName(counts.where(F.col("n") == n).orderBy("minimizer").limit(left))
+        left -= m
+    # All counts fit, or there are more than FREQUENT different ones among them.
+    return counts.where(F.col("n") >= sizes[-1][0]) if sizes else counts
+
+
+def without_repetitive(mreads: DataFrame, repetitive: DataFrame, handed: int = HANDED) -> DataFrame:
+    """Reads without their repetitive minimizers, in order, all arrays aligned.
+
+    Up to ``handed`` values go to every task; more are joined with the reads' rows.
+    Rows keep their row, with empty arrays where nothing is left.
     """
-    banned = F.broadcast(repetitive.agg(F.collect_set("minimizer").alias("_banned")))
-    joined = mreads.withColumn("_one", F.lit(1)).join(banned.withColumn("_one", F.lit(1)), "_one")
-    return joined.withColumn("minimizers", F.filter("minimizers", lambda m: ~F.array_contains("_banned", m))).drop("_banned", "_one")
+    lists = [f.name for f in mreads.schema if f.dataType.typeName() == "array"]
+    values = repetitive.select("minimizer").limit(handed + 1).toPandas()["minimizer"].to_numpy(np.int64)
+    if len(values) <= handed:
+        banned = np.sort(values)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                m = b.column("minimizers")
+                flat = m.flatten().to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(banned, flat), max(len(banned) - 1, 0))
+                yield filtered(b, m, np.ones(len(flat), bool) if not len(banned) else banned[at] != flat)
+
+        return mreads.mapInArrow(run, mreads.schema)
+    keyed = materialize(mreads.withColumn("_row", F.monotonically_increasing_id()))
+    each = keyed.select("_row", F.posexplode(F.arrays_zip(*lists)).alias("_i", "_z"))
+    kept = each.withColumn("minimizer", F.col("_z.minimizers")).join(repetitive.select("minimizer"), "minimizer", "left_anti")
+    back = kept.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_i", "_z"))).alias("_w"))
+    types = {f.name: f.dataType for f in mreads.schema}
+    joined = keyed.drop(*lists).join(back, "_row", "left")
+    out = {c: F.coalesce(F.transform("_w", lambda x: x["_z"][c]), F.array()).cast(types[c]) for c in lists}  # noqa: B023
+    return joined.withColumns(out).select(*mreads.columns)

@@ -20,20 +20,19 @@ def hot_keys(df: DataFrame, key: str, rows: int, share: float = HOT_SHARE) -> li
     return [r[0] for r in counted.select(key).collect()]
 
 
-def lookup_join(left: DataFrame, key: str, right: DataFrame, right_key: str, how: str = "inner", rows: int | None = None, small: int = 200_000) -> DataFrame:
+def lookup_join(left: DataFrame, key: str, right: DataFrame, right_key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join ``left`` with ``right``, whose ``right_key`` is unique, without a hot task.
 
     Rows of ``left`` with a hot key meet the broadcast of the matching rows of
     ``right`` (at most ``1 / HOT_SHARE`` of them, as the key is unique there);
-    all others take a shuffled join.  ``left`` should be cheap to scan twice, so
-    pass a checkpointed table.  With ``rows`` at or below ``small`` one plain
-    shuffled join is planned: no task could then hold more than ``small`` rows.
-    Null keys match nothing; with ``how='left'`` they are kept.
+    all others take a shuffled join.  ``left`` is scanned twice, so pass a written
+    table; ``rows`` is its number of rows where that is known.  Null keys match
+    nothing; with ``how='left'`` they are kept.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
     right = right.withColumnRenamed(right_key, key)
-    hot = [] if rows is not None and rows <= small else hot_keys(left, key, left.count() if rows is None else rows)
+    hot = hot_keys(left, key, left.count() if rows is None else rows)
     if not hot:
         return left.join(right, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

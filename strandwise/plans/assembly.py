@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq, stats
-from ..operators import align, graph, minimize, overlaps
+from ..operators import align, graph, intervals, minimize, overlaps
+from ..operators import contigs as cleaning
 from ..operators import kminmers as km
-from ..session import Scratch, materialize
+from ..session import Files, Scratch, materialize
 from ..sources import fastx, gfa
 
 
@@ -37,6 +38,10 @@ class Parameters:
     min_read_quality: float = 0.0
     min_contig_length: int = 50
     min_contig_coverage: float = 1.0
+    min_overlap: int = 1000
+    min_identity: float = 0.96
+    polish: bool = True
+    least_minimizers: int = 10
     correction: bool | None = None
     compress: bool | None = None
 
@@ -65,32 +70,45 @@ class Parameters:
 SMALL_K = 8
 
 
-def find_neighbours(mreads: DataFrame, most: int = 20, least: int = 3) -> DataFrame:
+def read_anchors(mreads: DataFrame, banned_fraction: float = minimize.REPETITIVE) -> DataFrame:
+    """Pairs of neighbouring minimizers of reads, without repetitive ones, written for the joins to come."""
+    kept = minimize.without_repetitive(mreads.select("read_id", "minimizers", "pos"), minimize.repetitive_minimizers(minimize.minimizer_counts(mreads), banned_fraction))
+    return materialize(overlaps.pair_rows(kept))
+
+
+def find_neighbours(mreads: DataFrame, p: Parameters | None = None, most: int = 20, least: int = 3) -> DataFrame:
     """``read_id, other``: for each read those among the ``most`` best at any of its minimizers.
 
     Repetitive minimizers are left out first, as every read that has one would meet
-    every other there.
+    every other there.  With parameters, only alignments good enough for correction
+    count: their length, identity and overhangs follow from the chain.
     """
-    counts = minimize.minimizer_counts(mreads)
-    kept = minimize.without_repetitive(mreads.select("read_id", "minimizers", "pos"), minimize.repetitive_minimizers(counts))
-    # Positions are not needed for ranking: places in the filtered array stand for them.
-    rows = kept.select("read_id", "minimizers", F.transform("minimizers", lambda m, i: i).alias("pos"))
-    pairs = overlaps.pair_rows(rows)
-    chains = align.chain_anchors(overlaps.anchors(pairs, pairs, exclude_self=True), least)
-    spread = chains.select(F.col("query").alias("read_id"), F.col("reference").alias("other"), "score", F.explode(F.sequence("q_start", "q_end")).alias("at"))
+    pairs = read_anchors(mreads)
+    found = materialize(align.chained(overlaps.anchors(pairs, pairs, exclude_self=True), least))
+    if p is not None:
+        sizes = mreads.select(F.col("read_id").alias("query"), F.col("read_len").alias("query_len"), F.size("minimizers").alias("query_n"))
+        good = align.good_alignments(align.chain_alignments(found, sizes, p.kmer_size), p.min_overlap, p.min_identity)
+        found = found.join(good.select("query", "reference", "same_strand"), ["query", "reference", "same_strand"], "left_semi")
+    places = F.sequence(F.array_min("q_at"), F.array_max("q_at"))
+    spread = found.select(F.col("query").alias("read_id"), F.col("reference").alias("other"), "score", F.explode(places).alias("at"))
     return overlaps.top_per_position(spread, ["read_id", "at"], "score", "other", most).select("read_id", "other").distinct()
 
 
 def selected_reads(reads: DataFrame, p: Parameters) -> DataFrame:
-    """Minimizer reads before correction: ``read_id, minimizers, pos``.
+    """Minimizer reads before correction: ``read_id, minimizers, pos, qual, read_len``.
 
-    Low-complexity reads (mean score above 5) are left out; where nothing is
-    corrected palindromes are purged up to the last k that the reads' lengths give.
+    Low-complexity reads (mean score above 5) are left out, as are reads of fewer
+    than ``least_minimizers`` at the assembly's density; where nothing is corrected,
+    palindromes are purged up to the last k that the reads' lengths give.
     """
     density = p.density_correction if p.corrects else p.density
     low = minimize.sequence_complexity(reads).where("mean_score > 5").select("read_id")
-    mreads = minimize.minimizer_reads(reads, p.kmer_size, density, p.compresses, None, p.min_read_quality).join(low, "read_id", "left_anti").select("read_id", "minimizers", "pos")
-    return mreads if p.corrects else align.purged_reads(mreads, p.first_k, k_limit(reads, replace(p, max_k=0)))
+    mreads = minimize.minimizer_reads(reads, p.kmer_size, density, p.compresses, None, p.min_read_quality).join(low, "read_id", "left_anti")
+    if p.corrects:
+        thin = minimize.lower_density(mreads.select("read_id", "minimizers"), p.density).where(F.size("minimizers") < p.least_minimizers).select("read_id")
+        return mreads.join(thin, "read_id", "left_anti").select("read_id", "minimizers", "pos", "qual", "read_len")
+    purged = align.purged_reads(mreads.where(F.size("minimizers") >= p.least_minimizers), p.first_k, k_limit(reads, replace(p, max_k=0)))
+    return purged
 
 
 def prepared_reads(reads: DataFrame, p: Parameters) -> DataFrame:
@@ -98,7 +116,7 @@ def prepared_reads(reads: DataFrame, p: Parameters) -> DataFrame:
     mreads = materialize(selected_reads(reads, p))
     if not p.corrects:
         return mreads.select("read_id", "minimizers")
-    fixed = align.corrected_reads(mreads, find_neighbours(mreads), p.first_k, k_limit(reads, p))
+    fixed = align.corrected_reads(mreads, find_neighbours(mreads, p), p.first_k, k_limit(reads, p))
     return materialize(minimize.lower_density(fixed, p.density).where(F.size("minimizers") >= p.first_k))
 
 
@@ -116,138 +134,157 @@ def counted(sequences: DataFrame, k: int, p: Parameters, previous: DataFrame | N
     """
     rows = km.kminmer_rows(sequences, k)
     if previous is not None:
-        return materialize(km.refined_abundance(rows.select("km").distinct(), previous, k - 1).where("abundance > 1"))
+        return km.refined_abundance(rows.select("km").distinct(), previous, k - 1).where("abundance > 1")
     rows = materialize(rows)
-    counts = km.kminmer_counts(rows)
-    solid = materialize(km.solid(counts, max(2, p.min_abundance)))
-    if p.min_abundance <= 1:
-        solid = solid.unionByName(km.rescue(rows, solid))
-    return materialize(solid)
+    solid = materialize(km.solid(km.kminmer_counts(rows), max(2, p.min_abundance)))
+    return solid.unionByName(km.rescue(rows, solid)) if p.min_abundance <= 1 else solid
 
 
 def refined(solid: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
     """k-min-mer abundances with those of the contigs written back.
 
     A contig's k-min-mers take its abundance rounded up, 2 at least where it is
-    longer than one k-min-mer; in the others nothing changes.
+    longer than one k-min-mer; an abundance of 1 becomes 0.  In the others nothing
+    changes.
     """
     ab = F.ceil("abundance").cast("long")
     parts = contigs.select(F.when(F.size("minimizers") > k, F.greatest(ab, F.lit(2))).otherwise(ab).alias("a"), F.explode(seq.kminmers(F.col("minimizers"), k)).alias("raw"))
     best = parts.select(seq.normalized(F.col("raw")).alias("km"), "a").groupBy("km").agg(F.max("a").alias("a"))
-    return solid.join(best, "km", "left").select("km", F.coalesce("a", "abundance").alias("abundance"))
+    # A contig seen once makes its k-min-mers unknown again.
+    found = F.when(F.col("a") == 1, F.lit(0).cast("long")).otherwise(F.coalesce("a", "abundance"))
+    return solid.join(best, "km", "left").select("km", found.alias("abundance"))
 
 
 def one_pass(sequences: DataFrame, k: int, p: Parameters, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Graph of one k: solid k-min-mers (refined), simplified unitigs, contigs."""
-    solid = counted(sequences, k, p, previous)
+    nodes = graph.numbered(counted(sequences, k, p, previous))
+    solid = nodes.select(F.col("minimizers").alias("km"), F.col("abundances")[0].alias("abundance"))
     longest = p.minimizers_of(min(p.max_bubble, p.max_tip), k)
-    shots = materialize(graph.progressive(graph.numbered(solid), k - 1, longest))
-    contigs = materialize(graph.select_contigs(shots, k))
-    return materialize(refined(solid, contigs, k)), shots.where("cutoff = 0"), contigs
+    found = materialize(graph.states(nodes, k - 1, longest, kinds=("graph", "contig")).withColumn("contig", F.monotonically_increasing_id()))
+    contigs = found.where("kind = 'contig'").drop("kind", "abundances")
+    unitigs = found.where("kind = 'graph'").select(F.col("contig").alias("node"), "minimizers", "abundances", "abundance", "circular")
+    return refined(solid, contigs, k), unitigs, contigs
 
 
-def with_small(contigs: DataFrame, small: DataFrame, k: int) -> DataFrame:
-    """Contigs together with those of ``small`` of whose k-min-mers no longer one has all on one strand."""
-    small = materialize(small)
-    both = contigs.unionByName(small)
-    rows = km.kminmer_rows(both, k, "contig").join(both.select("contig", F.size("minimizers").alias("n")), "contig")
-    a = rows.join(small.select("contig"), "contig", "left_semi").select(F.col("contig").alias("a"), "i", "km", F.col("is_rev").alias("ra"), F.col("n").alias("na"))
-    b = rows.select(F.col("contig").alias("b"), "km", F.col("is_rev").alias("rb"), F.col("n").alias("nb"))
-    hits = a.join(b, "km").where("nb > na").groupBy("a", "b", (F.col("ra") == F.col("rb")).alias("same"), "na").agg(F.countDistinct("i").alias("hit"))
-    held = hits.where(F.col("hit") == F.col("na") - (k - 1)).select(F.col("a").alias("contig")).distinct()
-    return contigs.unionByName(small.join(held, "contig", "left_anti"))
+@dataclass(frozen=True)
+class Passes:
+    """What the passes of growing k leave: the last k, its graph, contigs, abundances, and the reads they were made of."""
+
+    k: int
+    unitigs: DataFrame
+    contigs: DataFrame
+    solid: DataFrame
+    mreads: DataFrame
 
 
-def multi_k(reads: DataFrame, p: Parameters, most: int | None = None) -> tuple[int, DataFrame, DataFrame]:
-    """The passes of growing k: the last k, its graph and contigs.
+def multi_k(reads: DataFrame, p: Parameters, most: int | None = None) -> Passes:
+    """The passes of growing k.
 
     Each pass counts the reads together with the unitigs of the pass before, so
     what a smaller k joined survives where reads are too short for the larger one.
-    Contigs too short for the next k are set aside and come back at the end.
-    A pass whose graph is empty ends the loop.
+    Contigs too short for the next k are set aside and come back at the end, unless
+    a longer one has all but three of their k-min-mers.  A pass whose graph is empty
+    ends the loop.
     """
-    base = prepared_reads(reads, p).select("minimizers")
+    mreads = materialize(prepared_reads(reads, p).select("read_id", "minimizers"))
+    base = mreads.select("minimizers")
     last = k_limit(reads, p) if most is None else most
     sequences, previous, result, small, short = base, None, None, [], None
     for k in range(p.first_k, last + 1):
         keyed = sequences.select(F.monotonically_increasing_id().alias("read_id"), "minimizers")
-        solid, unitigs, contigs = one_pass(materialize(keyed), k, p, previous)
+        solid, unitigs, contigs = one_pass(keyed, k, p, previous)
         if unitigs.isEmpty():
             break
         if short is not None:
             small.append(short)
         short = contigs.where((F.size("minimizers") <= k) & (F.ceil("abundance") > 1)) if k >= SMALL_K else None
-        result, previous = (k, unitigs, contigs), solid
+        result, previous = Passes(k, unitigs, contigs, solid, mreads), solid
         sequences = base.unionByName(contigs.select("minimizers"))
     if result is None:
-        empty = reads.sparkSession.createDataFrame([], "contig long, cutoff double, minimizers array<bigint>, abundance double, circular boolean")
-        return p.first_k, empty, empty
-    return (*result[:2], with_small(result[2], reduce(DataFrame.unionByName, small), p.first_k)) if small else result
+        spark = reads.sparkSession
+        nodes = spark.createDataFrame([], "node long, minimizers array<bigint>, abundances array<bigint>, abundance double, circular boolean")
+        empty = spark.createDataFrame([], "cutoff double, minimizers array<bigint>, abundance double, circular boolean, contig long")
+        return Passes(p.first_k, nodes, empty, spark.createDataFrame([], "km array<bigint>, abundance long"), mreads)
+    if not small:
+        return result
+    spare = materialize(reduce(DataFrame.unionByName, small).withColumn("contig", -1 - F.monotonically_increasing_id()))
+    return replace(result, contigs=result.contigs.unionByName(cleaning.without_contained(spare, result.contigs, p.first_k)))
+
+
+def unitig_labels(rows: DataFrame, unitigs: DataFrame, k: int, id_col: str = "read_id") -> DataFrame:
+    """k-min-mers of sequences with the unitig that has them, null where none has: ``id, i, unitig``."""
+    parts = unitigs.select(F.col("node").alias("unitig"), F.explode(seq.kminmers(F.col("minimizers"), k)).alias("raw"))
+    owner = parts.groupBy(seq.normalized(F.col("raw")).alias("km")).agg(F.min("unitig").alias("unitig"))
+    return rows.join(owner, "km", "left").select(id_col, "i", "unitig")
+
+
+def placed_minimizers(reads: DataFrame, p: Parameters) -> DataFrame:
+    """Minimizers of reads with their letters' places: ``read_id, minimizers, start, stop``."""
+    m = minimize.minimizer_reads(reads, p.kmer_size, p.density, p.compresses).select("read_id", "minimizers", "pos")
+    if not p.compresses:
+        return m.select("read_id", "minimizers", F.col("pos").alias("start"), F.transform("pos", lambda x: x + p.kmer_size).alias("stop"))
+    # Places in the compressed read, translated to those in the read itself.
+    joined = m.join(minimize.run_positions(reads), "read_id")
+    return joined.select("read_id", "minimizers", F.transform("pos", lambda x: F.element_at("positions", x + 1)).alias("start"), F.transform("pos", lambda x: F.element_at("positions", x + p.kmer_size + 1)).alias("stop"))
 
 
-def pair_segments(reads: DataFrame, p: Parameters) -> DataFrame:
-    """The bases from one minimizer through the next, by vote: ``a, b, segment``.
+def broken_contigs(contigs: DataFrame, unitigs: DataFrame, solid: DataFrame, mreads: DataFrame, k: int, p: Parameters) -> DataFrame:
+    """Contigs ``contig, minimizers, abundance, circular`` cut where repeats aren't bridged by a read.
 
-    Every read's segment counts once for its normalised pair; the most frequent one
-    wins (ties: the longer, then the smaller text), so that errors of single reads
-    are outvoted without aligning them.
+    A contig's k-min-mers fall into fragments of one unitig each; the mean abundance
+    of a fragment is its coverage, and reads laid along the contig bridge fragments.
     """
-    # Pairs are those of the graph: a minimizer purged from it ends no segment.
-    m = minimize.minimizer_reads(reads, p.kmer_size, p.density, p.compresses).select("read_id", "minimizers", "pos") if p.corrects else selected_reads(reads, p)
-    if p.compresses:
-        # Places in the compressed read, translated to those in the read itself.
-        starts = minimize.run_positions(reads)
-        m = m.join(starts, "read_id").select("read_id", "minimizers", F.transform("pos", lambda x: F.element_at("positions", x + 1)).alias("pos"), F.transform("pos", lambda x: F.element_at("positions", x + p.kmer_size + 1)).alias("stop"))
-    else:
-        m = m.select("read_id", "minimizers", "pos", F.transform("pos", lambda x: x + p.kmer_size).alias("stop"))
-    n = F.size("minimizers")
-    at = F.when(n >= 2, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    rows = m.join(reads.select("read_id", F.upper("seq").alias("seq")), "read_id").select("minimizers", "pos", "stop", "seq", F.explode(at).alias("i"))
-    x, y = F.element_at("minimizers", F.col("i")), F.element_at("minimizers", F.col("i") + 1)
-    first, last = F.element_at("pos", F.col("i")), F.element_at("stop", F.col("i") + 1)
-    text = F.substring("seq", first + 1, last - first)
-    cut_ = rows.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(x > y, seq.revcomp(text)).when(x == y, F.least(text, seq.revcomp(text))).otherwise(text).alias("segment"))
-    votes = cut_.groupBy("a", "b", "segment").agg(F.count("*").alias("n"))
-    return votes.groupBy("a", "b").agg(F.min(F.struct(-F.col("n"), -F.length("segment"), "segment")).alias("v")).select("a", "b", F.col("v.segment").alias("segment"))
-
-
-def base_sequences(contigs: DataFrame, segments: DataFrame, minimizer: int | None = None) -> DataFrame:
-    """Contigs as bases: ``contig, seq``, segment after segment.
-
-    Consecutive segments share a minimizer's bases; how many these are shows from
-    the longest end of one that begins the next.  A pair without a segment ends the
-    sequence before it.
+    scratch = Scratch(contigs.sparkSession)
+    rows = scratch.keep(km.kminmer_rows(contigs, k, "contig"))
+    parts = scratch.keep(intervals.fragments(unitig_labels(rows, unitigs, k, "contig"), "contig", "i", "unitig"))
+    depth = km.path_abundances(rows, solid, "contig").withColumnRenamed("abundance", "depth")
+    # A contig's fragments don't overlap, so each k-min-mer meets one of them.
+    numbered = parts.withColumn("fragment", F.row_number().over(Window.partitionBy("contig").orderBy("frag_start")) - 1)
+    covered = depth.join(numbered, "contig").where(F.col("i").between(F.col("frag_start"), F.col("frag_end")))
+    measured = scratch.keep(covered.groupBy("contig", "fragment", F.col("frag_start").alias("f_start"), F.col("frag_end").alias("f_end")).agg(F.avg("depth").alias("coverage")))
+    paths = cleaning.read_paths(contigs, mreads)
+    lying = paths.select(F.col("reference").alias("contig"), F.col("query").alias("alignment"), F.array_min("r_at").alias("start"), F.array_max("r_at").alias("end"))
+    bridges = intervals.bridging_pairs(intervals.bridging(lying, measured.select("contig", "fragment", "f_start", "f_end")))
+    pieces = scratch.keep(cleaning.break_unbridged(measured, bridges, p.minimizers_of(10_000, 1)))
+    several = F.count("*").over(Window.partitionBy("contig")) > 1
+    cut_ = contigs.join(pieces.withColumn("several", several), "contig", "left")
+    text = F.when(F.col("start").isNull() | ~F.col("several"), F.col("minimizers")).otherwise(F.slice("minimizers", F.col("start") + 1, F.col("end") - F.col("start") + k))
+    return scratch.keep(cut_.select(F.monotonically_increasing_id().alias("contig"), text.alias("minimizers"), "abundance", (F.col("circular") & ~F.coalesce("several", F.lit(False))).alias("circular")))
+
+
+def cleaned_contigs(contigs: DataFrame, unitigs: DataFrame, solid: DataFrame, mreads: DataFrame, k: int, p: Parameters) -> DataFrame:
+    """Contigs in minimizer space without overlapping ends, broken at unbridged repeats."""
+    told = materialize(contigs.select("contig", "minimizers", "abundance", "circular"))
+    trimmed = cleaning.trim_overlaps(told.select("contig", "minimizers"), p.first_k)
+    return broken_contigs(trimmed.join(told.drop("minimizers"), "contig"), unitigs, solid, mreads, k, p)
+
+
+def base_contigs(contigs: DataFrame, reads: DataFrame, p: Parameters) -> DataFrame:
+    """Contigs as bases: ``contig, seq, coverage, circular``.
+
+    Suspect reads are left out of the layout, whose result is polished twice; then
+    repetitive and low-complexity contigs go, ends that a better covered contig has
+    are cut, and ends no read covers.
     """
-    n = F.size("minimizers")
-    rows = contigs.where(n >= 2).select("contig", F.posexplode(F.arrays_zip(F.slice("minimizers", F.lit(1), n - 1).alias("x"), F.slice("minimizers", F.lit(2), n - 1).alias("y"))).alias("i", "z"))
-    x, y = F.col("z.x"), F.col("z.y")
-    keyed = rows.select("contig", "i", F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (x > y).alias("rev"))
-    found = keyed.join(segments, ["a", "b"], "left")
-    text = F.when(F.col("rev"), seq.revcomp(F.col("segment"))).otherwise(F.col("segment"))
-    gathered = found.select("contig", "i", text.alias("t")).groupBy("contig").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("w"))
-
-    def join(parts):  # noqa: ANN001
-        import pandas as pd
-
-        def one(w) -> str:  # noqa: ANN001
-            out = ""
-            for piece in w:
-                t = piece["t"]
-                if t is None:
-                    break
-                if not out:
-                    out = t
-                    continue
-                k = min(len(out), len(t), minimizer or 1 << 30)
-                while k and out[-k:] != t[:k]:
-                    k -= 1
-                out += t[k:]
-            return out
-
-        return pd.Series([one(w) for w in parts])
-
-    joined = F.pandas_udf(join, "string")
-    return gathered.select("contig", joined("w").alias("seq"))
+    scratch = Scratch(reads.sparkSession)
+    plain = scratch.keep(reads.select(F.col("read_id").cast("long").alias("read_id"), F.upper("seq").alias("seq"), "qual").where("seq is not null and seq <> ''"))
+    as_id = lambda rows, name: rows.select(F.col(name).alias("id"), "seq")
+    density = max(p.density, p.density_correction)
+    among = scratch.keep(cleaning.mapped(as_id(plain, "read_id"), as_id(plain, "read_id"), p.kmer_size, density, itself=True))
+    lying = among.select(F.col("reference").alias("read_id"), F.col("r_start").alias("start"), (F.col("r_end") + p.kmer_size).alias("end"))
+    bad = cleaning.suspect_reads(lying, plain.select("read_id", F.length("seq").alias("length")), low=0)
+    good = scratch.keep(plain.join(bad, "read_id", "left_anti"))
+    text = scratch.keep(cleaning.laid_out(contigs, scratch.keep(placed_minimizers(good, p)), good))
+    if p.polish:
+        text = cleaning.polished(text, good, p.kmer_size, density)
+    told = contigs.select("contig", F.col("abundance").cast("double").alias("coverage"), "circular")
+    now = scratch.keep(text.join(told, "contig").where("seq <> ''"))
+    now = scratch.keep(cleaning.without_low_complexity(cleaning.without_repetitive(now, p.kmer_size)))
+    twins = scratch.keep(cleaning.mapped(as_id(now, "contig"), as_id(now, "contig"), p.kmer_size, density, itself=True))
+    matches = twins.select(F.col("query").alias("a"), F.col("reference").alias("b"), F.col("q_start").alias("a_start"), (F.col("q_end") + p.kmer_size).alias("a_end"), "identity")
+    now = scratch.keep(cleaning.dereplicated(now, matches))
+    cover = cleaning.mapped(as_id(good, "read_id"), as_id(now, "contig"), p.kmer_size, density)
+    return cleaning.ends_without_cover(now, scratch.keep(cover), p.kmer_size).select("contig", "seq", "coverage", "circular")
 
 
 def assemble(reads: DataFrame, p: Parameters, most_k: int | None = None) -> DataFrame:
@@ -257,54 +294,157 @@ def assemble(reads: DataFrame, p: Parameters, most_k: int | None = None) -> Data
     ``min_contig_coverage``, length below ``min_contig_length``, or shorter than
     7,500 bases with coverage below 4.  Contigs are numbered by length.
     """
-    k, _, contigs = multi_k(reads, p, most_k)
-    kept = materialize(contigs.select("contig", "minimizers", "abundance", "circular"))
-    text = base_sequences(kept, materialize(pair_segments(reads, p)), p.kmer_size if not p.compresses else None)
-    whole = text.join(kept, "contig").select("seq", F.length("seq").alias("length"), F.col("abundance").alias("coverage"), "circular")
+    return finished(reads, multi_k(reads, p, most_k), p)
+
+
+def finished(reads: DataFrame, passes: Passes, p: Parameters) -> DataFrame:
+    """The contigs of the passes, cleaned, as bases, filtered and numbered."""
+    clean = cleaned_contigs(passes.contigs, passes.unitigs, passes.solid, passes.mreads, passes.k, p)
+    whole = base_contigs(clean, reads, p).withColumn("length", F.length("seq"))
     bad = (F.col("coverage") <= p.min_contig_coverage) | (F.col("length") < p.min_contig_length) | ((F.col("length") < 7500) & (F.col("coverage") < 4))
-    numbered = graph.ordered_ids(whole.where(~bad).withColumn("shorter", -F.col("length")), ["shorter", "seq"], "contig")
-    return numbered.select("contig", seq.contig_header(F.col("contig"), F.col("length"), F.col("coverage").cast("double"), F.col("circular")).alias("header"), "seq", "length", "coverage", "circular")
+    numbered = graph.ordered_ids(whole.where(~bad).withColumn("shorter", -F.col("length")).drop("contig"), ["shorter", "seq"], "contig")
+    return numbered.select("contig", seq.contig_header(F.col("contig"), F.col("length"), F.col("coverage"), F.col("circular")).alias("header"), "seq", "length", "coverage", "circular")
 
 
-def graph_tables(unitigs: DataFrame, k: int, density: float, length: int) -> tuple[DataFrame, DataFrame]:
-    """Segments and links of a unitig graph, ready for the GFA sink."""
+def unitig_sequences(unitigs: DataFrame, reads: DataFrame, p: Parameters) -> DataFrame:
+    """Unitigs ``node, minimizers`` as bases, where reads lie on them: ``node, seq``."""
+    scratch = Scratch(reads.sparkSession)
+    as_contigs = scratch.keep(unitigs.select(F.col("node").alias("contig"), "minimizers", F.lit(False).alias("circular")))
+    return scratch.keep(cleaning.laid_out(as_contigs, scratch.keep(placed_minimizers(reads, p)), reads)).select(F.col("contig").alias("node"), "seq")
+
+
+def graph_tables(unitigs: DataFrame, k: int, p: Parameters, sequences: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Segments and links of a unitig graph, ready for the GFA sink.
+
+    With ``sequences`` (``node, seq``) lengths are those of the bases, and a link's
+    overlap is what the source has from its last k - 1 minimizers on, by their places
+    in its sequence.  Where these aren't known the mean distance of minimizers
+    stands for them.
+    """
     names = unitigs.withColumn("name", F.concat(F.lit("utg"), F.col("node").cast("string")))
-    segments = names.select("name", F.lit(None).cast("string").alias("seq"), seq.k_to_bp(F.size("minimizers"), density, length).cast("long").alias("length"), F.round("abundance").cast("long").alias("depth"))
-    links = graph.oriented_edges(names.select(F.col("name").alias("node"), "minimizers"), k - 1).withColumn("overlap", seq.k_to_bp(F.lit(k - 1), density, length).cast("long"))
-    return segments, links
+    typical = lambda n: seq.k_to_bp(n, p.density, p.kmer_size).cast("long")
+    bases = sequences if sequences is not None else unitigs.select("node", F.lit(None).cast("string").alias("seq"))
+    told = names.join(bases, "node", "left")
+    segments = told.select("name", "seq", F.coalesce(F.length("seq").cast("long"), typical(F.size("minimizers"))).alias("length"), F.round("abundance").cast("long").alias("depth"))
+    links = graph.oriented_edges(names.select(F.col("name").alias("node"), "minimizers"), k - 1)
+    if sequences is None:
+        return segments, links.withColumn("overlap", typical(F.lit(k - 1)))
+    # A sequence begins and ends with a minimizer, which extraction leaves out as its first and last word.
+    places = placed_minimizers(bases.where("seq is not null").select(F.col("node").alias("read_id"), "seq", F.lit(None).cast("string").alias("qual")), p)
+    known = names.join(places.select(F.col("read_id").alias("node"), F.col("minimizers").alias("inner"), "start", "stop"), "node").join(bases, "node")
+    exact = F.col("inner") == F.slice("minimizers", F.lit(2), F.greatest(F.size("minimizers") - 2, F.lit(0)))
+    n = F.size("minimizers")
+    ends = known.where(exact & (n > k - 1)).select(F.col("name").alias("src"), (F.length("seq") - F.element_at("start", n - k + 1)).alias("right"), F.element_at("stop", F.lit(k - 2)).alias("left"))
+    joined = links.join(ends, "src", "left")
+    return segments, joined.select("src", "src_rev", "dst", "dst_rev", F.coalesce(F.when(F.col("src_rev"), F.col("left")).otherwise(F.col("right")).cast("long"), typical(F.lit(k - 1))).alias("overlap"))
+
+
+class Assembly:
+    """The ``asm`` command's folder: stages, each a table with a marker, and what they were made from.
+
+    A stage is found again only for the same parameters and input files (path, size,
+    time of change); anything else is another assembly and is made anew.
+    """
+
+    def __init__(self, spark: SparkSession, out: str):
+        self.spark, self.out, self.files = spark, out.rstrip("/"), Files(spark)
+
+    def _json(self, name: str) -> dict:
+        path = f"{self.out}/{name}.json"
+        return json.loads(self.files.read(path)) if self.files.exists(path) else {}
+
+    def begin(self, paths: list[str], p: Parameters, most_k: int | None) -> bool:
+        """Whether earlier stages may be used; else they are deleted."""
+        told = {"parameters": asdict(p), "most_k": most_k, "inputs": [list(self.files.describe(x)) for x in fastx.manifest(paths)]}
+        if self._json("parameters") == told:
+            return True
+        for stage in ("stages", "contigs.fasta", "statistics.json"):
+            self.files.delete(f"{self.out}/{stage}")
+        self.files.write(f"{self.out}/parameters.json", json.dumps(told))
+        return False
+
+    def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        path = f"{self.out}/stages/{name}"
+        if not self.files.exists(f"{path}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def parameters(self) -> Parameters:
+        told = self._json("parameters")
+        if not told:
+            raise FileNotFoundError(f"{self.out} holds no assembly")
+        return Parameters(**told["parameters"])
+
+    def reads(self, paths: list[str]) -> DataFrame:
+        return self.stage("reads", lambda: fastx.scan(self.spark, paths))
+
+    def passes(self, make: Callable[[], Passes] | None = None) -> Passes:
+        """The graph tables: made and written once, afterwards read."""
+        last = f"{self.out}/stages/last_k.json"
+        if not self.files.exists(last):
+            if make is None:
+                raise FileNotFoundError(f"{self.out} holds no finished passes")
+            made = make()
+            for name in PASS_TABLES:
+                self.stage(name, lambda: getattr(made, name))  # noqa: B023
+            self.files.write(last, json.dumps({"k": made.k}))
+        k = json.loads(self.files.read(last))["k"]
+        return Passes(k, *[self.spark.read.parquet(f"{self.out}/stages/{name}") for name in PASS_TABLES])
+
+
+PASS_TABLES = ("unitigs", "contigs", "solid", "mreads")
 
 
 def run_assembly(spark: SparkSession, paths: list[str], out: str, p: Parameters, most_k: int | None = None, with_graph: bool = False) -> dict:
     """The ``asm`` command: reads from FASTA/FASTQ files to contigs in ``out``; returns the statistics.
 
-    A finished stage leaves ``_SUCCESS`` and isn't run again; parameters and
-    statistics are JSON files beside it.
+    Every stage (reads, passes, contigs) is written once; a run that was broken off
+    goes on after the last finished one.
     """
-    os.makedirs(out, exist_ok=True)
-    target = os.path.join(out, "contigs.fasta")
-    stats_file = os.path.join(out, "stats.json")
-    if os.path.exists(os.path.join(target, "_SUCCESS")) and os.path.exists(stats_file):
-        with open(stats_file) as f:
-            return json.load(f)
-    with open(os.path.join(out, "parameters.json"), "w") as f:
-        json.dump(asdict(p), f)
-    reads = materialize(fastx.scan(spark, paths))
-    contigs = materialize(assemble(reads, p, most_k))
-    fastx.write_fasta(contigs, target)
+    a = Assembly(spark, out)
+    a.begin(paths, p, most_k)
+    reads = a.reads(paths)
+    passes = a.passes(lambda: multi_k(reads, p, most_k))
+    contigs = a.stage("finished", lambda: finished(reads, passes, p))
+    if not a.files.exists(f"{out}/contigs.fasta/_SUCCESS"):
+        fastx.fasta_lines(fastx.in_order(contigs, ["contig"])).write.mode("overwrite").text(f"{out}/contigs.fasta", compression="gzip")
     if with_graph:
-        k, unitigs, _ = multi_k(reads, p, most_k)
-        gfa.write_gfa(*graph_tables(unitigs, k, p.density, p.kmer_size), os.path.join(out, f"graph_k{k}.gfa"))
-    found = stats.length_stats(contigs, "length", 1_000_000, F.col("circular")).first().asDict() | stats.n50(contigs, "length").first().asDict()
-    with open(stats_file, "w") as f:
-        json.dump(found, f)
-    return found
+        write_graph(a, f"{out}/graph_k{passes.k}.gfa")
+    if not a.files.exists(f"{out}/statistics.json"):
+        found = stats.length_stats(contigs, "length", 1_000_000, F.col("circular")).first().asDict() | stats.n50(contigs, "length").first().asDict()
+        a.files.write(f"{out}/statistics.json", json.dumps(found))
+    return a._json("statistics")
+
+
+def write_graph(a: Assembly, path: str, bare: bool = False) -> None:
+    """The saved assembly's graph as GFA, with sequences unless ``bare``."""
+    p, passes = a.parameters(), a.passes()
+    sequences = None if bare else unitig_sequences(passes.unitigs, a.spark.read.parquet(f"{a.out}/stages/reads"), p)
+    gfa.write_gfa(*graph_tables(passes.unitigs, passes.k, p, sequences), path)
+
+
+def contig_paths(a: Assembly) -> DataFrame:
+    """The saved contigs as paths of unitigs: ``contig, i, unitig``."""
+    passes = a.passes()
+    rows = km.kminmer_rows(passes.contigs, passes.k, "contig")
+    return intervals.run_deduplicated(unitig_labels(rows, passes.unitigs, passes.k, "contig"), "contig", "i", "unitig")
 
 
 def map_to_graph(sequences: DataFrame, unitigs: DataFrame, k: int, p: Parameters) -> DataFrame:
     """Paths of sequences (``read_id, seq, qual``) on a graph: ``read_id, i, unitig``, runs as one."""
-    from ..operators import intervals
+    rows = km.kminmer_rows(minimize.minimizer_reads(sequences, p.kmer_size, p.density, p.compresses), k)
+    return intervals.run_deduplicated(unitig_labels(rows, unitigs, k), "read_id", "i", "unitig")
 
-    m = minimize.minimizer_reads(sequences, p.kmer_size, p.density, p.compresses)
-    parts = unitigs.select(F.col("node").alias("unitig"), F.explode(seq.kminmers(F.col("minimizers"), k)).alias("raw"))
-    owner = parts.groupBy(seq.normalized(F.col("raw")).alias("km")).agg(F.min("unitig").alias("unitig"))
-    return intervals.run_deduplicated(km.kminmer_rows(m, k).join(owner, "km"), "read_id", "i", "unitig")
+
+def colours(path: DataFrame) -> DataFrame:
+    """How far along the mapped sequences each unitig lies: ``unitig, read_id, position`` (0 to 1, its first place)."""
+    first = path.groupBy("unitig", "read_id").agg(F.min("i").alias("at"))
+    size = path.groupBy("read_id").agg(F.max("i").alias("last"))
+    return first.join(size, "read_id").select("unitig", "read_id", (F.col("at") / F.greatest("last", F.lit(1))).alias("position"))
+
+
+def mapped_subgraph(path: DataFrame, unitigs: DataFrame, k: int, p: Parameters, reach: int = 10_000) -> DataFrame:
+    """Unitigs that a mapped path has, and those near them of similar abundance: rows of ``unitigs``."""
+    edges = graph.oriented_edges(unitigs, k - 1)
+    near = graph.abundant_neighbourhood(unitigs, edges, path.select(F.col("unitig").alias("node")), p.minimizers_of(reach, 1), k - 1)
+    return unitigs.join(near.select("node").distinct(), "node", "left_semi")

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import seq, stats
+from ..operators import align, minimize
 from ..operators import kminmers as km
-from ..operators import minimize
-from ..session import table
+from ..session import Files, materialize, shared_dir, table
+from ..sources import fastx
 from .registry import query
 from .sql import DENSITY, K, KMERS, LENGTH, MINIMIZERS, MREADS, READ_KMINMERS, SOLID, kminmers
 
-HPC = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, 'A+', 'A', 'g'), 'C+', 'C', 'g'), 'G+', 'G', 'g'), 'T+', 'T', 'g'), 'N+', 'N', 'g')"
+#: Single letters of the reads: read_id, i (0-based), c.
+LETTERS = "lt as (select read_id, i - 1 as i, substr(s, i, 1) c, substr(s, i - 1, 1) b from (select read_id, s, unnest(range(1, length(s) + 1)) i from (select read_id, upper(seq) s from reads where seq is not null)))"
+#: Every read with its minimizers, [] where it has none: read_id, ms, ps, n (letters).
+ALL_MREADS = f"with {MREADS}, am as (select r0.read_id, coalesce(ms, []) ms, coalesce(ps, []) ps, coalesce(length(seq), 0) n from reads r0 left join mr using (read_id))"
 
 
 def reads_of(spark, d):
@@ -27,13 +33,6 @@ def rows_of(spark, d, k=K):
     return km.kminmer_rows(mreads_of(spark, d), k)
 
 
-@query("select read_id, upper(coalesce(seq, '')) as seq, coalesce(length(seq), 0) as n, coalesce(qual, '') as qual, regexp_extract(header, '^(\\S*)', 1) as name from reads")
-def scan_reads(spark, d):
-    """The read table as a FASTA/FASTQ scan yields it: no nulls, short name."""
-    r = table(spark, d, "reads")
-    return r.select("read_id", seq.clean(F.col("seq")).alias("seq"), F.coalesce(F.length("seq"), F.lit(0)).alias("n"), F.coalesce("qual", F.lit("")).alias("qual"), seq.short_header(F.col("header")).alias("name"))
-
-
 @query("select read_id, length(seq) as n from reads where read_id in (select ref_read_index from read_match) and seq is not null")
 def subsample_reads(spark, d):
     """Reads that are a reference of a match."""
@@ -41,11 +40,10 @@ def subsample_reads(spark, d):
     return table(spark, d, "reads").where("seq is not null").join(wanted, "read_id", "left_semi").select("read_id", F.length("seq").alias("n"))
 
 
-@query(f"select read_id, {HPC.format('upper(seq)')} as hpc from reads where seq is not null and translate(upper(seq), 'ACGTN', '') = ''")
+@query(f"with {LETTERS}, h as (select read_id, string_agg(c, '' order by i) h from lt where i = 0 or b <> c group by read_id) select read_id, coalesce(h, '') as hpc from reads left join h using (read_id) where seq is not null")
 def hpc(spark, d):
-    """Homopolymer compression of the reads of plain letters."""
-    r = table(spark, d, "reads").where("seq is not null").select("read_id", F.upper("seq").alias("s")).where(F.translate("s", "ACGTN", "") == "")
-    return r.select("read_id", seq.hpc(F.col("s")).alias("hpc"))
+    """Homopolymer compression of the reads, whatever their letters."""
+    return table(spark, d, "reads").where("seq is not null").select("read_id", seq.hpc(F.upper("seq")).alias("hpc"))
 
 
 @query("select read_id, case when length(s) = 0 then []::INT[] else list_append(list_filter(range(0, length(s)), lambda i: i = 0 or substr(s, i + 1, 1) <> substr(s, i, 1)), length(s))::INT[] end as positions from (select read_id, upper(coalesce(seq, '')) s from reads)")
@@ -71,19 +69,19 @@ def base_codes(spark, d):
 
 def _frequent_words(spark, d, canonical):
     words = minimize.kmer_values(reads_of(spark, d), 11, canonical).select(F.explode("words").alias("v"))
-    return words.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select(minimize.spelled(F.col("v"), 11).alias("w"), "n")
+    return words.groupBy("v").agg(F.count("*").alias("n")).select(minimize.spelled(F.col("v"), 11).alias("w"), "n")
 
 
-@query("select w, count(*) as n from (select substr(s, i, 11) w from (select s, unnest(range(1, length(s) - 9)) i from (select upper(seq) s from reads where length(seq) >= 11))) where translate(w, 'ACGT', '') = '' group by w having count(*) > 1")
+@query("select w, count(*) as n from (select substr(s, i, 11) w from (select s, unnest(range(1, length(s) - 9)) i from (select upper(seq) s from reads where length(seq) >= 11))) where translate(w, 'ACGT', '') = '' group by w")
 def direct_kmers(spark, d):
-    """Words of 11 bases that occur more than once."""
+    """All words of 11 bases with their number."""
     return _frequent_words(spark, d, False)
 
 
 @query("""select w, count(*) as n from (select translate(least(translate(x, 'ACTG', '0123'), translate(reverse(x), 'ACTG', '2301')), '0123', 'ACTG') w
-          from (select substr(s, i, 11) x from (select s, unnest(range(1, length(s) - 9)) i from (select upper(seq) s from reads where length(seq) >= 11))) where translate(x, 'ACGT', '') = '') group by w having count(*) > 1""")
+          from (select substr(s, i, 11) x from (select s, unnest(range(1, length(s) - 9)) i from (select upper(seq) s from reads where length(seq) >= 11))) where translate(x, 'ACGT', '') = '') group by w""")
 def canonical_kmers(spark, d):
-    """Canonical words of 11 bases that occur more than once."""
+    """All canonical words of 11 bases with their number."""
     return _frequent_words(spark, d, True)
 
 
@@ -103,11 +101,10 @@ def minimizers(spark, d):
     return zipped.select("read_id", F.col("z.pos").alias("pos"), F.col("z.minimizers").alias("minimizer"), F.col("z.dir").alias("dir"))
 
 
-@query(f"with {KMERS} select read_id, list(v order by pos) as minimizers from a7 where h::DOUBLE < 0.01 * 18446744073709551615::DOUBLE group by read_id")
+@query(f"with {KMERS}, lo as (select read_id, list(v order by pos) m from a7 where h::DOUBLE < 0.01 * 18446744073709551615::DOUBLE group by read_id) select read_id, coalesce(m, []) as minimizers from reads left join lo using (read_id)")
 def density_filter(spark, d):
     """Reads projected to a lower density; equal to selecting at that density at once."""
-    low = minimize.lower_density(mreads_of(spark, d), 0.01)
-    return low.where(F.size("minimizers") > 0).select("read_id", "minimizers")
+    return minimize.lower_density(mreads_of(spark, d), 0.01).select("read_id", "minimizers")
 
 
 @query(f"with {MINIMIZERS} select v as minimizer, count(*) as n from mz group by v")
@@ -115,26 +112,39 @@ def minimizer_freq(spark, d):
     return minimize.minimizer_counts(mreads_of(spark, d))
 
 
-TOP = "top as (select v, n from (select v, n, row_number() over (order by n desc, v) rk, count(*) over () total from (select v, count(*) n from mz group by v)) where rk <= greatest(1, floor(total * 0.001)))"
+TOP = "top as (select v, n from (select v, n, row_number() over (order by n desc, v) rk, count(*) over () total from (select v, count(*) n from mz group by v)) where rk <= greatest(1, floor(total * 0.00001)))"
 
 
 @query(f"with {MINIMIZERS}, {TOP} select v as minimizer, n from top")
 def repetitive_topk(spark, d):
-    """The most frequent thousandth of the minimizers."""
-    return minimize.repetitive_minimizers(minimize.minimizer_counts(mreads_of(spark, d)), 0.001)
+    """The most frequent hundred-thousandth of the minimizers, one at least."""
+    return minimize.repetitive_minimizers(materialize(minimize.minimizer_counts(mreads_of(spark, d))))
 
 
-@query(f"with {MINIMIZERS}, {TOP} select read_id, list(v order by pos) as minimizers from mz where v not in (select v from top) group by read_id")
+@query(f"with {MINIMIZERS}, {TOP}, kp as (select read_id, list(v order by pos) m, list(pos::INT order by pos) p from mz where v not in (select v from top) group by read_id) select read_id, coalesce(m, []) as minimizers, coalesce(p, []) as pos from reads left join kp using (read_id)")
 def drop_repetitive(spark, d):
-    m = mreads_of(spark, d).select("read_id", "minimizers")
-    kept = minimize.without_repetitive(m, minimize.repetitive_minimizers(minimize.minimizer_counts(m), 0.001))
-    return kept.where(F.size("minimizers") > 0).select("read_id", "minimizers")
+    """Reads without repetitive minimizers; positions stay with theirs."""
+    m = materialize(mreads_of(spark, d).select("read_id", "minimizers", "pos"))
+    return minimize.without_repetitive(m, minimize.repetitive_minimizers(materialize(minimize.minimizer_counts(m))))
 
 
-@query(f"with {MREADS} select read_id, len(ms)::INT as n from mr where len(ms) < 10")
+@query(f"{ALL_MREADS} select read_id, len(ms)::INT as n from am where len(ms) < 10")
 def short_reads(spark, d):
-    """Reads with minimizers, but fewer than ten."""
-    return mreads_of(spark, d).select("read_id", F.size("minimizers").alias("n")).where("n between 1 and 9")
+    """Reads of fewer than ten minimizers."""
+    return mreads_of(spark, d).select("read_id", F.size("minimizers").alias("n")).where("n < 10")
+
+
+PURGE = f"""with recursive {MREADS}, pu(read_id, m, k) as (
+    select read_id, ms, 4 from mr
+    union all
+    select read_id, case when at is null then m else list_concat(m[1 : at], m[at + 2 : len(m)]) end, case when at is null then k + 1 else 4 end
+    from (select read_id, m, k, list_min(list_filter(range(0, len(m) - k + 1), lambda i: m[i + 1] = m[i + k] and m[i + 1 : i + k] = list_reverse(m[i + 1 : i + k]))) at from pu where k < 20 and k <= len(m)))"""
+
+
+@query(f"{PURGE}, dn as (select read_id, m from pu where k >= 20 or k > len(m)) select read_id, coalesce(m, []) as minimizers from reads left join dn using (read_id)")
+def purge_palindromes(spark, d):
+    """Reads freed of palindromic windows of 4 to 19 minimizers."""
+    return align.purged_reads(mreads_of(spark, d), 4, 20).select("read_id", "minimizers")
 
 
 @query("select read_id, round(-10 * log10(list_avg(list_transform(range(1, length(qual) + 1), lambda i: pow(10.0, -(ascii(substr(qual, i, 1)) - 33) / 10.0)))), 6) as mean_q from reads where length(qual) > 0")
@@ -173,10 +183,10 @@ def kmer_min_quality(spark, d):
     return z.select("read_id", F.col("z.pos").alias("pos"), F.col("z.qual").alias("q")).where("q is not null")
 
 
-@query(f"with {MREADS} select read_id, list_reverse(ms) as minimizers, list_transform(list_reverse(ps), lambda p: (length(s) - p - {LENGTH})::INT) as pos from mr join r using (read_id)")
+@query(f"{ALL_MREADS} select read_id, list_reverse(ms) as minimizers, list_transform(list_reverse(ps), lambda p: (n - p - {LENGTH})::INT) as pos from am")
 def revcomp_mread(spark, d):
     """Minimizer reads on the other strand: arrays reversed, positions counted from the other end."""
-    m = mreads_of(spark, d).where(F.size("minimizers") > 0)
+    m = mreads_of(spark, d)
     return m.select("read_id", F.reverse("minimizers").alias("minimizers"), F.transform(F.reverse("pos"), lambda p: F.col("read_len") - p - LENGTH).alias("pos"))
 
 
@@ -256,7 +266,7 @@ def distinct_edges(spark, d):
 @query(f"with {SOLID} select read_id, i::INT as i, coalesce(abundance, 1) as abundance from km left join sc using (km)")
 def path_abundance(spark, d):
     """Abundance of each k-min-mer along each read, 1 where it isn't solid."""
-    rows = rows_of(spark, d)
+    rows = materialize(rows_of(spark, d))
     return km.path_abundances(rows, km.solid(km.kminmer_counts(rows)), "read_id")
 
 
@@ -270,8 +280,8 @@ def median_abundance(spark, d):
           select distinct km, 1::BIGINT as abundance from ab where a = 1 and read_id in (select read_id from g) and km not in (select km from sc)""")
 def rescue(spark, d):
     """k-min-mers rescued from reads of low but not minimal abundance."""
-    rows = rows_of(spark, d)
-    return km.rescue(rows, km.solid(km.kminmer_counts(rows)))
+    rows = materialize(rows_of(spark, d))
+    return km.rescue(rows, materialize(km.solid(km.kminmer_counts(rows))))
 
 
 @query(f"""with {SOLID},{kminmers(K + 1, 'kn')}, nx as (select distinct km from kn),
@@ -279,8 +289,9 @@ def rescue(spark, d):
           select parts.km, min(coalesce(sc.abundance, 1)) as abundance from parts left join sc on parts.sub = sc.km group by parts.km""")
 def refined_abundance(spark, d):
     """Abundance of the (k+1)-min-mers from the k-min-mers before."""
-    counts = km.solid(km.kminmer_counts(rows_of(spark, d)))
-    return km.refined_abundance(rows_of(spark, d, K + 1).select("km").distinct(), counts, K)
+    m = materialize(mreads_of(spark, d).select("read_id", "minimizers"))
+    counts = km.solid(km.kminmer_counts(km.kminmer_rows(m, K)))
+    return km.refined_abundance(km.kminmer_rows(m, K + 1).select("km").distinct(), counts, K)
 
 
 @query(f"""with {SOLID}, ab as (select read_id, i, coalesce(abundance, 1) a from km left join sc using (km))
@@ -292,13 +303,13 @@ def min_adjacent(spark, d):
     return ab.where("nx is not null").select("read_id", "i", F.least("abundance", "nx").alias("abundance"))
 
 
-@query(f"""with {READ_KMINMERS}, given as (select read_id, 0 as src, km from km union all select rec_id, 1, least(km, list_reverse(km)) from km_abundance where k = {K} and len(km) = {K})
-          select km, count(*) as n, sum(src)::BIGINT as n_given from given group by km having count(*) > 1""")
+@query(f"""with {READ_KMINMERS}, given as (select 0 as src, km from km union all select 1, least(km, list_reverse(km)) from km_abundance where km is not null)
+          select km, count(*) as n, sum(src)::BIGINT as n_given from given group by km""")
 def union_reads_unitigs(spark, d):
-    """Count over the reads' k-min-mers and those of an earlier pass together."""
-    earlier = table(spark, d, "km_abundance").where((F.col("k") == K) & (F.size("km") == K)).select(F.lit(1).alias("src"), seq.normalized(F.col("km")).alias("km"))
+    """Count over the reads' k-min-mers and those of earlier passes together."""
+    earlier = table(spark, d, "km_abundance").where("km is not null").select(F.lit(1).alias("src"), seq.normalized(F.col("km")).alias("km"))
     both = rows_of(spark, d).select(F.lit(0).alias("src"), "km").unionByName(earlier)
-    return both.groupBy("km").agg(F.count("*").alias("n"), F.sum("src").alias("n_given")).where("n > 1")
+    return both.groupBy("km").agg(F.count("*").alias("n"), F.sum("src").alias("n_given"))
 
 
 @query(f"with {READ_KMINMERS} select count(*) as n, sum(i)::BIGINT as sum_i, bit_xor(km[1]) as xor_first, sum(km[{K}] % 1000003)::BIGINT as sum_last from km")
@@ -308,7 +319,46 @@ def checksum(spark, d):
     return r.agg(F.count("*").alias("n"), F.sum("i").alias("sum_i"), F.bit_xor(F.element_at("km", 1)).alias("xor_first"), F.sum(F.element_at("km", K) % 1000003).alias("sum_last"))
 
 
-@query(f"with {MREADS} select read_id, len(ms)::INT as n_min from mr where len(ms) < {K}")
+@query(f"{ALL_MREADS} select read_id, len(ms)::INT as n_min from am where len(ms) < {K}")
 def small_contigs(spark, d):
-    """Sequences with minimizers but without a single k-min-mer."""
-    return mreads_of(spark, d).select("read_id", F.size("minimizers").alias("n_min")).where(F.col("n_min").between(1, K - 1))
+    """Sequences without a single k-min-mer."""
+    return mreads_of(spark, d).select("read_id", F.size("minimizers").alias("n_min")).where(F.col("n_min") < K)
+
+
+FASTQ = "select row_number() over (order by read_id) - 1 as read_id, coalesce(header, '') as header, coalesce(seq, '') as seq, case when length(qual) = length(seq) then qual else repeat('!', coalesce(length(seq), 0)) end as qual from reads"
+
+
+@query(FASTQ)
+def scan_reads(spark, d):
+    """The reads written as FASTQ, in order, and scanned: numbered over all files."""
+    r = table(spark, d, "reads").select("read_id", F.coalesce("header", F.lit("")).alias("header"), F.coalesce("seq", F.lit("")).alias("seq"), F.when(F.length("qual") == F.length("seq"), F.col("qual")).alias("qual"))
+    return fastx.scan(spark, written(spark, fastx.in_order(r, ["read_id"]), "fastq"), split=1 << 20)
+
+
+@query("select row_number() over (order by read_id) - 1 as read_id, coalesce(header, '') as header, coalesce(seq, '') as seq from reads")
+def scan_fasta(spark, d):
+    """The same as FASTA, compressed."""
+    r = table(spark, d, "reads").select("read_id", F.coalesce("header", F.lit("")).alias("header"), "seq")
+    return fastx.scan(spark, written(spark, fastx.in_order(r, ["read_id"]), "fasta")).select("read_id", "header", "seq")
+
+
+def written(spark, rows, kind):
+    """Files of a scratch folder that holds the rows as text, in order."""
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    if kind == "fastq":
+        fastx.write_fastq(rows, path, None)
+    elif kind == "fasta":
+        fastx.write_fasta(rows, path)
+    else:
+        rows.write.text(path)
+    return Files(spark).listed(path, "part-")
+
+
+@query("select 'r' || read_index as q_name, query_end as q_len, query_start as q_start, query_end as q_end, case when is_reversed then '-' else '+' end as strand, 'r' || ref_read_index as t_name, reference_end as t_len, reference_start as t_start, reference_end as t_end, align_nb_matches as n_match, align_length as align_len, 60 as mapq from read_match where read_index is not null and ref_read_index is not null")
+def scan_paf(spark, d):
+    """The matches written as PAF lines and parsed."""
+    m = table(spark, d, "read_match").where("read_index is not null and ref_read_index is not null")
+    name = lambda c: F.concat(F.lit("r"), F.col(c).cast("string"))
+    columns = [name("read_index"), "query_end", "query_start", "query_end", F.when(F.col("is_reversed"), "-").otherwise("+"), name("ref_read_index"), "reference_end", "reference_start", "reference_end", "align_nb_matches", "align_length", F.lit(60)]
+    lines = m.select(F.concat_ws("\t", *[F.coalesce(c if not isinstance(c, str) else F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+    return fastx.read_paf(spark, written(spark, lines, "text"))

@@ -66,3 +66,52 @@ def kminmers(k: int = K, name: str = "km") -> str:
 READ_KMINMERS = f"{MREADS},{kminmers()}"
 #: With solid counts: sc (km, abundance).
 SOLID = f"{READ_KMINMERS},\n    sc as (select km, count(*) abundance from km group by km having count(*) > 1)"
+
+
+def _planted() -> list[tuple[list[int], int]]:
+    """A small graph beside that of the reads, so that no shape is missing: k-min-mers and abundances.
+
+    A backbone of 60 with a bubble, a bubble whose side has a bubble itself, two tips
+    and a turning; a ring; and a sequence of its own.
+    """
+    at = lambda *x: [5_000_000_000 + i for i in x]
+    back = at(*range(60))
+    ways = [
+        (back, 20), (back[5:9] + at(500, 501, 502) + back[12:16], 6), (back[20:24] + at(510, 511, 512, 513, 514, 515, 516) + back[30:34], 9),
+        (at(510, 511, 512, 520, 514, 515, 516), 4), (at(530, 531) + back[44:48], 3), (back[50:54] + at(540, 541), 5),
+        (at(*range(200, 209), 200, 201, 202), 7), (at(*range(300, 312)), 2), (at(400, 401, 402, 402, 401, 400), 8),
+    ]
+    found: dict[tuple[int, ...], int] = {}
+    for path, n in ways:
+        for i in range(len(path) - K + 1):
+            w = tuple(path[i : i + K])
+            w = min(w, w[::-1])
+            found[w] = max(n, found.get(w, 0))
+    return [(list(m), n) for m, n in sorted(found.items())]
+
+
+PLANTED = _planted()
+
+#: The graph of the solid k-min-mers and the planted ones. Nodes: nn (id, km, abundance); oriented: wy (c, p, a); edges: ey (u, v).
+GRAPH = f"""{SOLID},
+    gn as (select km, abundance from sc union all select * from (values {", ".join(f"({m}::BIGINT[], {n}::BIGINT)" for m, n in PLANTED)})),
+    nn as (select row_number() over (order by km) - 1 id, km, abundance from gn),
+    wy as (select 2 * id c, km p, abundance a from nn union all select 2 * id + 1, list_reverse(km), abundance from nn where km <> list_reverse(km)),
+    ey as (select x.c u, y.c v from wy x join wy y on x.p[2 : {K}] = y.p[1 : {K - 1}] where x.c // 2 <> y.c // 2 or x.c = y.c)"""
+
+#: Its unitigs (start with "with recursive"): un (minimizers, abundances, abundance, circular), in rows of one orientation.
+UNITIGS = f"""{GRAPH},
+    lk as (select u, v from (select u, min(v) v from ey group by u having count(*) = 1) join (select v from ey group by v having count(*) = 1) using (v) where u <> v),
+    walk(h, c, m, a) as (select c, c, p, [a] from wy where c not in (select v from lk)
+        union all select h, lk.v, list_append(m, w.p[{K}]), list_append(walk.a, w.a) from walk join lk on walk.c = lk.u join wy w on w.c = lk.v),
+    turn(s, c, m, a, low) as (select c, c, [p[1]], [a], c // 2 from wy where c not in (select c from walk)
+        union all select s, lk.v, list_append(m, w.p[1]), list_append(turn.a, w.a), least(low, lk.v // 2) from turn join lk on turn.c = lk.u join wy w on w.c = lk.v where lk.v <> s),
+    ut as (select m, a, false circular from walk where c not in (select u from lk)
+        union all select x.m, x.a, true from (select min({{'m': list_concat(m, m, m, m)[1 : len(m) + {K - 1}], 'a': a}}) x from turn join lk on turn.c = lk.u where lk.v = s group by low)),
+    un as (select distinct case when f then m else list_reverse(m) end minimizers, case when f then a else list_reverse(a) end abundances, greatest(list_aggregate(a, 'median'), 1)::DOUBLE abundance, circular
+           from (select *, circular or m < list_reverse(m) or (m = list_reverse(m) and a <= list_reverse(a)) f from ut))"""
+
+#: Edges between unitigs (start with "with recursive"): ue (u, v) over uw (name, rev, p, abundance).
+UNITIG_EDGES = f"""{UNITIGS},
+    uw as (select minimizers as name, false rev, minimizers p, abundance, abundances from un union all select minimizers, true, list_reverse(minimizers), abundance, abundances from un where minimizers <> list_reverse(minimizers)),
+    ue as (select x.name src, x.rev src_rev, y.name dst, y.rev dst_rev from uw x join uw y on x.p[len(x.p) - {K - 2} : len(x.p)] = y.p[1 : {K - 1}] where x.name <> y.name or x.rev = y.rev)"""

@@ -94,9 +94,55 @@ class Scratch:
 
     def drop(self, path: str) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        Files(self.spark).delete(path)
+
+
+class Files:
+    """Small files and folders on whatever file system the cluster uses for a path."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        where = self.jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.conf), where
+
+    def exists(self, path: str) -> bool:
+        system, where = self._at(path)
+        return system.exists(where)
+
+    def delete(self, path: str) -> None:
+        system, where = self._at(path)
+        system.delete(where, True)
+
+    def listed(self, path: str, prefix: str = "") -> list[str]:
+        """Files of a folder whose names begin with ``prefix``, in order of name."""
+        system, where = self._at(path)
+        found = [x.getPath() for x in system.listStatus(where) if x.getPath().getName().startswith(prefix)]
+        plain = lambda x: x.toUri().getPath() if x.toUri().getScheme() in (None, "file") else x.toString()
+        return sorted(plain(x) for x in found)
+
+    def describe(self, path: str) -> tuple[str, int, int]:
+        """Full path, bytes and time of change of a file."""
+        system, where = self._at(path)
+        found = system.getFileStatus(where)
+        return found.getPath().toString(), found.getLen(), found.getModificationTime()
+
+    def write(self, path: str, text: str) -> None:
+        system, where = self._at(path)
+        out = system.create(where, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def read(self, path: str) -> str:
+        system, where = self._at(path)
+        stream = system.open(where)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
 
 def shuffle_width(spark: SparkSession, rows: int, rows_per_task: int) -> int:

@@ -43,9 +43,9 @@ def test_correction_lowers_the_error():
     for _ in range(10):
         reads = [noisy() for _ in range(12)]
         before += wrong(reads[0])
-        after += wrong(align.correct(reads[0], reads[1:]))
+        after += wrong(align.correct(reads[0], [(r, [1] * len(r)) for r in reads[1:]]))
     assert after < before / 3
-    assert align.correct([], [[1, 2]]) == [] and align.correct([1, 2, 3], []) == [1, 2, 3]
+    assert align.correct([], [([1, 2], [1, 1])]) == [] and align.correct([1, 2, 3], []) == [1, 2, 3]
 
 
 def test_edit_path_and_cigar():
@@ -82,10 +82,43 @@ def test_consensus_outvotes_errors(spark):
     assert align.consensus("ACGT", []) == "ACGT"
 
 
-def test_greedy_choices():
-    assert align.best_disjoint([(0, 10, 5), (5, 15, 9), (15, 20, 1), (0, 4, 2)]) == [1, 2, 3]
-    assert align.coverage_bounded([(0, 10, i) for i in range(5)], 2) == [3, 4]
-    assert align.coverage_bounded([]) == []
+def test_choices_of_alignments(spark):
+    from strandwise.operators import overlaps
+
+    rows = [(1, 0, 10, 5, 1), (1, 5, 15, 9, 2), (1, 15, 20, 1, 3), (1, 0, 4, 2, 4), (1, 5, 15, 8, 5), (None, 0, 9, 1, 6), (2, 3, 3, 1, 7), (3, 0, 5, None, 8)]
+    df = spark.createDataFrame(rows, "k long, s int, e int, score int, i int")
+    assert sorted((r["k"], r["i"]) for r in overlaps.disjoint(df, "k", "s", "e", "score", ["i"]).collect()) == [(1, 2), (1, 3), (1, 4), (3, 8)]
+    assert sorted(r["i"] for r in overlaps.disjoint(df, "k", "s", "e", "score", ["i"], 5).collect()) == [1, 2, 3, 8]
+    deep = spark.createDataFrame([(1, 0, 10, i, i) for i in range(5)] + [(1, 8, 12, 0, 9)], df.schema)
+    assert sorted(r["i"] for r in overlaps.thinned(deep, "k", "s", "e", "score", ["i"], 2).collect()) == [3, 4, 9]
+
+
+def test_the_best_along_a_reference(spark):
+    from strandwise.operators import overlaps
+
+    rnd = random.Random(3)
+    rows = [(rnd.randint(0, 1), i % 37, a, a + rnd.randint(0, 60), rnd.choice([None, 1, 2, 3, 4])) for i in range(120) for a in [rnd.randint(0, 90)]]
+    want = set()
+    for k in (0, 1):
+        for p in range(160):
+            here = {(-1 if w is None else w, o) for key, o, a, z, w in rows if key == k and a <= p <= z}
+            want |= {(k, o) for _, o in sorted(here, key=lambda x: (-x[0], x[1]))[:3]}
+    df = spark.createDataFrame(rows + [(None, 1, 0, 9, 9), (0, 99, 5, 2, 9)], "k int, o int, a int, z int, w int")
+    assert {tuple(r) for r in overlaps.top_along(df, "k", "a", "z", "w", "o", 3).collect()} == want
+
+
+def test_alignments_that_may_correct(spark):
+    rows = [(1, 2, True, 80.0, 5, 0, 900, 100, 1000, [0, 2, 3, 4, 6], [1, 2, 4, 5, 7]), (1, 3, False, 40.0, 2, 10, 20, 30, 40, [1, 2], [5, 4])]
+    found = spark.createDataFrame(rows, align.CHAINS)
+    sizes = spark.createDataFrame([(1, 1100, 9), (2, 1000, 8), (3, 500, 4)], "query long, query_len int, query_n int")
+    got = {r["reference"]: r for r in align.chain_alignments(found, sizes, 15).collect()}
+    # Steps on the reference 2, 1, 1, 2 and on the query 1, 2, 1, 2: one mismatch between, none before, one behind.
+    r = got[2]
+    assert (r["matches"], r["mismatches"], r["insertions"], r["deletions"], r["align_length"], r["hang_start"], r["hang_end"]) == (5, 2, 1, 1, 900, 0, 85)
+    assert abs(r["identity"] - (5 / 8) ** (1 / 15)) < 1e-9
+    assert got[3]["mismatches"] == 2 and got[3]["hang_start"] == 10
+    good = align.good_alignments(align.chain_alignments(found, sizes, 15), 800, 0.96).collect()
+    assert [x["reference"] for x in good] == [2]
 
 
 def test_chains_of_a_frame(spark):
@@ -95,28 +128,24 @@ def test_chains_of_a_frame(spark):
     assert got == {2: (True, 5, 3, 43, 0, 40), 3: (False, 4, 70, 100, 0, 30)}
 
 
-def test_chains_of_reads_on_contigs_keep_frequent_minimizers(spark, tmp_path):
-    from strandwise.plans import catalog
+def test_anchors_leave_out_only_the_most_frequent_minimizer(spark):
+    from strandwise.operators import overlaps
+    from strandwise.plans import assembly
 
     rng = np.random.default_rng(4)
     long = ["".join(rng.choice(list("ACGT"), 1600)) for _ in range(50)]
     rows = [(i, s, None) for i, s in enumerate(long)] + [(100 + i, long[0][200:500], None) for i in range(5)]
-    spark.createDataFrame(rows, "read_id long, seq string, qual string").write.parquet(str(tmp_path / "reads.parquet"))
-    reads = spark.read.parquet(str(tmp_path / "reads.parquet"))
-    n = minimize.minimizer_reads(reads.where("read_id = 100"), 15, 0.05).first()["minimizers"]
-    got = catalog.QUERIES["chain_anchors"](spark, str(tmp_path)).collect()
-    # Of the copies' minimizers, the most frequent ones, one alone is left out.
-    assert {r["n_anchors"] for r in got if r["query"] >= 100 and r["reference"] == 0} == {len(n) - 2}
-
-
-def test_chains_of_two_anchors_on_contigs_stay(spark, tmp_path):
-    from strandwise.plans import catalog
-
-    long = "".join(np.random.default_rng(6).choice(list("ACGT"), 4000))
-    one = minimize.minimizer_reads(spark.createDataFrame([(0, long, None)], "read_id long, seq string, qual string"), 15, 0.05).first()
-    pos = one["pos"]
-    i = next(i for i in range(1, len(pos) - 4) if pos[i] - pos[i - 1] > 3 and pos[i + 3] - pos[i + 2] > 3)
-    rows = [(0, long, None), (1, long[pos[i] - 2 : pos[i + 2] + 17], None), (2, long[-400:], None), (3, long[-400:], None)]
-    spark.createDataFrame(rows, "read_id long, seq string, qual string").write.parquet(str(tmp_path / "reads.parquet"))
-    got = catalog.QUERIES["chain_anchors"](spark, str(tmp_path)).where("query = 1").collect()
-    assert [(r["reference"], r["n_anchors"]) for r in got] == [(0, 2)]
+    reads = minimize.minimizer_reads(spark.createDataFrame(rows, "read_id long, seq string, qual string"), 15, 0.05)
+    n = reads.where("read_id = 100").first()["minimizers"]
+    p = assembly.read_anchors(reads)
+    got = align.chain_anchors(overlaps.anchors(p, p, exclude_self=True)).where("query >= 100 and reference = 0").collect()
+    assert len(got) == 5 and {r["n_anchors"] for r in got} == {len(n) - 2}
+
+
+def test_reads_on_contigs_need_two_anchors(spark):
+    from strandwise.operators import contigs
+
+    c = spark.createDataFrame([(7, [1, 2, 3, 4, 5, 6, 7, 8])], "contig long, minimizers array<long>")
+    m = spark.createDataFrame([(1, [3, 4, 5]), (2, [6, 5, 4]), (3, [1, 2]), (4, [])], "read_id long, minimizers array<long>")
+    got = {r["query"]: (r["same_strand"], r["r_at"], r["q_at"]) for r in contigs.read_paths(c, m).collect()}
+    assert got == {1: (True, [2, 3], [0, 1]), 2: (False, [3, 4], [2, 1])}

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandwise.operators import graph, intervals, skew
+from strandwise.operators import graph, intervals, regions, skew
 from strandwise.plans import assembly
 
 NODES = "node long, minimizers array<long>, abundances array<long>"
@@ -27,11 +27,78 @@ def key(r):
     return tuple(r["minimizers"]), tuple(r["abundances"]), r["circular"], r["abundance"]
 
 
-def test_either_way_of_compaction_gives_the_same(spark):
+@pytest.mark.parametrize("per_task", [1_000_000, 7])
+def test_compaction_in_one_task_or_many(spark, per_task):
     n = random_nodes(spark, 1)
-    one, many = (sorted(map(key, graph.compact(n, 2, one_task=t).collect())) for t in (1000, 0))
-    assert one == many
-    assert [x[0] for x in one if x[2]] == [(101, 102, 103, 104, 105, 101, 102)]
+    got = sorted((tuple(r["minimizers"]), tuple(r["abundances"]), r["circular"]) for r in graph.compact(n, 2, per_task).collect())
+    assert got == regions.compacted([(tuple(r["minimizers"]), tuple(r["abundances"]), False) for r in n.collect()], 2)
+    assert [x[0] for x in got if x[2]] == [(101, 102, 103, 104, 105, 101, 102)]
+
+
+@pytest.mark.parametrize("per_task", [1000, 6])
+def test_places_on_long_lists_and_rings(spark, per_task):
+    rnd = random.Random(4)
+    ids = rnd.sample(range(1000), 90)
+    line, ring = ids[:60], ids[60:]
+    rows = [(a, b) for a, b in zip(line, line[1:])] + [(line[-1], None)] + [(a, b) for a, b in zip(ring, [*ring[1:], ring[0]])]
+    got = {r["c"]: r for r in graph.chain_places(spark.createDataFrame(rows, "c long, next long"), per_task).collect()}
+    assert len(got) == 90
+    assert [got[c]["dist"] for c in line] == list(range(60)) and {got[c]["head"] for c in line} == {line[0]}
+    assert sorted(got[c]["dist"] for c in ring) == list(range(30)) and all(got[c]["circular"] for c in ring) and not got[line[0]]["circular"]
+    start = min(ring, key=lambda c: got[c]["dist"])
+    at = ring.index(start)
+    assert [got[c]["dist"] for c in ring[at:] + ring[:at]] == list(range(30))
+
+
+@pytest.mark.parametrize("per_task", [1000, 5])
+def test_components_with_a_hub(spark, per_task):
+    rnd = random.Random(6)
+    edges = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(40)] + [(100, 101 + i) for i in range(30)] + [(200 + i, 201 + i) for i in range(25)]
+    parent = list(range(300))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long"), len(edges), per_task).collect()}
+    assert got == {(x, find(x)) for x in range(300) if find(x) != x}
+
+
+BACK = list(range(1, 40))
+SHAPES = [
+    (BACK, 20), ([5, 6, 7, 900, 901, 9, 10, 11], 4), ([20, 21, 22, 800, 801, 802, 26, 27, 28], 9), ([22, 800, 801, 810, 802, 26, 27], 3),
+    ([33, 34, 35, 700, 701], 2), ([101, 102, 103, 104, 105, 106, 101, 102], 7), ([950, 951, 952], 1),
+]
+
+
+def test_a_component_too_large_for_a_task_gives_the_same(spark):
+    n = nodes(spark, [(w, min(n, 3)) for w, n in SHAPES], 3)
+
+    def rows(**kw):
+        return sorted((r["kind"], r["cutoff"], tuple(r["minimizers"]), tuple(r["abundances"]), r["circular"]) for r in graph.states(n, 2, 8, first=2.5, kinds=("state", "contig"), **kw).collect())
+
+    assert rows() == rows(region=8, per_task=1000)
+
+
+def test_superbubbles_collapse_to_the_heaviest_way():
+    paths = [(tuple(w), n) for w, n in SHAPES]
+    seen = {}
+    for m, n in paths:
+        for i in range(len(m) - 2):
+            w = m[i : i + 3]
+            seen[min(w, w[::-1])] = n
+    unitigs = regions.simplified([(m, (n,), False) for m, n in sorted(seen.items())], 2, 8)
+    # One way is left through each bubble, and the tip is gone; the single isolated one is dropped only when written.
+    assert [u[0] for u in unitigs if not u[2]] == [tuple([*range(1, 23), *range(23, 40)]), (950, 951, 952)]
+    assert regions.lasting(unitigs, 2) == [u for u in unitigs if u[0] != (950, 951, 952)]
+    # At no floor does the weak side win, however long.
+    g = regions.Region([((1, 2, 3), (9,), False), ((2, 3, 4, 5), (2, 2), False), ((2, 3, 6, 7, 8, 4, 5), (3, 3, 3, 3, 3), False), ((4, 5, 9), (9,), False)], 2)
+    found = regions.superbubble(g, 0, 20)
+    assert found and found[0] >> 1 == 3 and {c >> 1 for c in regions.heaviest(g, 0, *found)} == {2}
 
 
 def test_compaction_is_idempotent_and_edges_have_mirrors(spark):
@@ -65,7 +132,7 @@ def test_progressive_filter_and_selection(spark):
     assert shots.where("cutoff = 0").count() == 2
     picked = graph.select_contigs(shots, 3).collect()
     assert sorted(r["abundance"] for r in picked) == [2.0, 20.0]
-    assert graph.cutoffs(1.2) == [1.1] and graph.cutoffs(1.0) == []
+    assert regions.after(1.1) == pytest.approx(1.21) and regions.after(1000.0) == 1010.0
 
 
 def test_a_unitig_not_taken_bars_no_other(spark):
@@ -79,7 +146,7 @@ def test_a_unitig_not_taken_bars_no_other(spark):
 
 def test_empty_graph(spark):
     none = spark.createDataFrame([], NODES)
-    assert graph.compact(none, 2).count() == graph.compact(none, 2, one_task=-1).count() == 0
+    assert graph.compact(none, 2).count() == graph.compact(none, 2, 3).count() == 0
     assert graph.progressive(none, 2, 3).count() == 0
 
 
@@ -97,8 +164,8 @@ def test_lookup_join_of_hot_keys(spark, how):
     left = spark.createDataFrame([(7 if i % 3 else i, i) for i in range(3000)] + [(None, -1)], "k long, v int")
     right = spark.createDataFrame([(i, f"r{i}") for i in range(0, 3000, 2)] + [(7, "r7")], "id long, name string")
     want = sorted(map(str, left.join(right.withColumnRenamed("id", "k"), "k", how).collect()))
-    assert sorted(map(str, skew.lookup_join(left, "k", right, "id", how, small=0).collect())) == want
-    assert sorted(map(str, skew.lookup_join(left, "k", right, "id", how, rows=10).collect())) == want
+    assert sorted(map(str, skew.lookup_join(left, "k", right, "id", how).collect())) == want
+    assert sorted(map(str, skew.lookup_join(left, "k", right, "id", how, rows=3001).collect())) == want
 
 
 def test_depth_sweep(spark):
@@ -136,17 +203,11 @@ def test_later_passes_keep_what_occurs_once(spark):
 
 
 def test_small_contigs_come_back(spark):
-    rows = lambda *x: spark.createDataFrame(list(x), "contig long, minimizers array<long>")
-    got = assembly.with_small(rows((1, [1, 2, 3, 4, 5, 6])), rows((2, [4, 3, 2]), (3, [7, 8, 9]), (4, [6, 7, 8, 9])), 3)
-    assert sorted(r["contig"] for r in got.collect()) == [1, 4]
-
+    from strandwise.operators import contigs
 
-def test_assemble_query_runs_to_the_last_k(spark, monkeypatch, tmp_path):
-    from strandwise.plans import catalog
-
-    spark.createDataFrame([(1, "ACGT", None)], "read_id long, seq string, qual string").write.parquet(str(tmp_path / "reads.parquet"))
-    monkeypatch.setattr(assembly, "assemble", lambda reads, p, most_k=None: (most_k, p.max_k))
-    assert catalog.QUERIES["assemble"](spark, str(tmp_path)) == (None, 0)
+    rows = lambda *x: spark.createDataFrame(list(x), "contig long, minimizers array<long>")
+    got = contigs.without_contained(rows((2, [4, 3, 2]), (3, [7, 8, 9]), (4, [16, 17, 18, 19])), rows((1, [1, 2, 3, 4, 5, 6])), 3)
+    assert sorted(r["contig"] for r in got.collect()) == [3, 4]
 
 
 @pytest.mark.parametrize("correction", [False, True])
