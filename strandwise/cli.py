@@ -67,9 +67,10 @@ def main(arguments: list[str] | None = None) -> int:
         assembly.write_graph(saved, f"{saved.out}/graph_k{passes.k}.gfa", a.bare)
         assembly.contig_paths(saved).write.csv(f"{saved.out}/contig_paths.csv", header=True, mode="overwrite")
         return 0
-    path = materialize(assembly.map_to_graph(fastx.scan(spark, a.contigs), passes.unitigs, passes.k, p))
+    places = materialize(assembly.graph_places(fastx.scan(spark, a.contigs), passes.unitigs, passes.k, p))
+    path = materialize(assembly.map_to_graph(places))
     path.write.csv(f"{saved.out}/paths.csv", header=True, mode="overwrite")
-    assembly.colours(path).write.csv(f"{saved.out}/position_colors.csv", header=True, mode="overwrite")
+    assembly.colours(places).write.csv(f"{saved.out}/position_colors.csv", header=True, mode="overwrite")
     near = materialize(assembly.mapped_subgraph(path, passes.unitigs, passes.k, p))
     gfa.write_gfa(*assembly.graph_tables(near, passes.k, p), f"{saved.out}/mapped.gfa")
     return 0

@@ -72,7 +72,7 @@ def top_along(scored: DataFrame, key: str, start: str, end: str, score: str, oth
     of each size; where a kept block begins or ends, what is left there is ranked.
     """
     rows = scored.where(F.col(key).isNotNull() & F.col(other).isNotNull() & (F.col(start) >= 0) & (F.col(start) <= F.col(end))).select(key, other, F.col(start).cast("long").alias("_s"), (F.col(end).cast("long") + 1).alias("_e"), F.col(score).alias("_w"))
-    power = lambda k: F.shiftleft(F.lit(1).cast("long"), k)
+    power = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
     def at_level(k: Column) -> Column:
         low, high = F.floor((F.col("_s") + power(k) - 1) / power(k)), F.floor(F.col("_e") / power(k))
@@ -83,8 +83,8 @@ def top_along(scored: DataFrame, key: str, start: str, end: str, score: str, oth
     blocks = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(40)), at_level))
     spread = rows.select(key, other, "_w", F.explode(blocks).alias("_b")).select(key, other, "_w", F.col("_b.level").alias("_k"), F.col("_b.block").alias("_n")).distinct()
     best = top_per_position(spread, [key, "_k", "_n"], "_w", other, n)
-    edges = best.select(key, F.explode(F.array(F.col("_n"), F.col("_n") + 1)).alias("_n"), "_k").select(key, (F.col("_n") * F.shiftleft(F.lit(1).cast("long"), F.col("_k"))).alias("_p")).distinct()
-    seen = edges.select(key, "_p", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("_k")).withColumn("_n", F.shiftright("_p", F.col("_k")))
+    edges = best.select(key, F.explode(F.array(F.col("_n"), F.col("_n") + 1)).alias("_n"), "_k").select(key, (F.col("_n") * power(F.col("_k"))).alias("_p")).distinct()
+    seen = edges.select(key, "_p", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("_k")).withColumn("_n", F.call_function("shiftright", F.col("_p"), F.col("_k")))
     ranked = seen.join(best, [key, "_k", "_n"]).select(key, "_p", other, "_w").distinct()
     return top_per_position(ranked, [key, "_p"], "_w", other, n).select(key, other).distinct()
 

@@ -430,16 +430,22 @@ def contig_paths(a: Assembly) -> DataFrame:
     return intervals.run_deduplicated(unitig_labels(rows, passes.unitigs, passes.k, "contig"), "contig", "i", "unitig")
 
 
-def map_to_graph(sequences: DataFrame, unitigs: DataFrame, k: int, p: Parameters) -> DataFrame:
-    """Paths of sequences (``read_id, seq, qual``) on a graph: ``read_id, i, unitig``, runs as one."""
+def graph_places(sequences: DataFrame, unitigs: DataFrame, k: int, p: Parameters) -> DataFrame:
+    """Where sequences (``read_id, seq, qual``) lie on a graph: ``read_id, i, unitig``, null where they don't."""
     rows = km.kminmer_rows(minimize.minimizer_reads(sequences, p.kmer_size, p.density, p.compresses), k)
-    return intervals.run_deduplicated(unitig_labels(rows, unitigs, k), "read_id", "i", "unitig")
+    return unitig_labels(rows, unitigs, k)
 
 
-def colours(path: DataFrame) -> DataFrame:
+def map_to_graph(places: DataFrame) -> DataFrame:
+    """Paths of sequences on a graph: ``read_id, i, unitig``, runs as one."""
+    return intervals.run_deduplicated(places, "read_id", "i", "unitig")
+
+
+def colours(places: DataFrame) -> DataFrame:
     """How far along the mapped sequences each unitig lies: ``unitig, read_id, position`` (0 to 1, its first place)."""
-    first = path.groupBy("unitig", "read_id").agg(F.min("i").alias("at"))
-    size = path.groupBy("read_id").agg(F.max("i").alias("last"))
+    known = places.where("unitig is not null")
+    first = known.groupBy("unitig", "read_id").agg(F.min("i").alias("at"))
+    size = known.groupBy("read_id").agg(F.max("i").alias("last"))
     return first.join(size, "read_id").select("unitig", "read_id", (F.col("at") / F.greatest("last", F.lit(1))).alias("position"))
 
 

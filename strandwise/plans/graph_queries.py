@@ -304,11 +304,10 @@ def graph_path(spark, d):
     return intervals.run_deduplicated(labelled(spark, d), "read_id", "i", "unitig")
 
 
-@query(f"with recursive {OWNER}, lp as (select *, lag(unitig) over (partition by read_id order by i) p from lb where unitig is not null), st as (select read_id, i, unitig from lp where p is null or p <> unitig) select unitig, read_id, round(min(i) / greatest(max(max(i)) over (partition by read_id), 1), 6) as position from st group by unitig, read_id")
+@query(f"with recursive {OWNER} select unitig, read_id, round(min(i) / greatest(max(max(i)) over (partition by read_id), 1), 6) as position from lb where unitig is not null group by unitig, read_id")
 def map_to_graph(spark, d):
-    """How far along each read the unitigs of its path lie."""
-    path = materialize(intervals.run_deduplicated(labelled(spark, d), "read_id", "i", "unitig"))
-    return assembly.colours(path).withColumn("position", F.round("position", 6))
+    """How far along each read its unitigs lie."""
+    return assembly.colours(labelled(spark, d)).withColumn("position", F.round("position", 6))
 
 
 RUNS = f"""{UNITIGS}, x as {_parts_sql(K - 1)},
@@ -556,9 +555,9 @@ CHAINED = f"""{PAIRS},
     ac as (select p.read_id qu, q.read_id re, p.rev = q.rev same, q.pos r, case when p.rev = q.rev then p.pos else -p.npos end w, q.i ra, case when p.rev = q.rev then p.i else p.i + 1 end qa from pr p join pr q using (a, b) where p.read_id <> q.read_id),
     cg as (select qu, re, same, list(r order by r, w) rs, list(w order by r, w) ws, list(ra order by r, w) ra, list(qa order by r, w) qa from ac group by qu, re, same having count(*) >= 3),
     dp(qu, re, same, n, sc, bf) as (select qu, re, same, 1, [20], [0] from cg union all
-        select qu, re, same, n + 1, list_append(sc, case when b.s > 20 then b.s else 20 end), list_append(bf, case when b.s > 20 then b.j else 0 end) from (
+        select qu, re, same, n + 1, list_append(sc, case when -b.m > 20 then -b.m else 20 end), list_append(bf, case when -b.m > 20 then b.j else 0 end) from (
         select dp.*, list_min(list_transform(list_filter(range(greatest(1, n - 9), n + 1), lambda j: rs[n + 1] > rs[j] and ws[n + 1] > ws[j] and rs[n + 1] - rs[j] <= 5000 and ws[n + 1] - ws[j] <= 5000 and abs((rs[n + 1] - rs[j]) - (ws[n + 1] - ws[j])) <= 100),
-            lambda j: {{'m': -(sc[j] + 20 - abs((rs[n + 1] - rs[j]) - (ws[n + 1] - ws[j]))), 'j': j}})) x, {{'s': -x.m, 'j': x.j}} b from dp join cg using (qu, re, same) where n < len(rs))),
+            lambda j: {{'m': -(sc[j] + 20 - abs((rs[n + 1] - rs[j]) - (ws[n + 1] - ws[j]))), 'j': j}})) b from dp join cg using (qu, re, same) where n < len(rs))),
     en as (select dp.*, list_position(sc, list_max(sc)) e from dp join cg using (qu, re, same) where n = len(rs)),
     bk(qu, re, same, e, ms) as (select qu, re, same, e::BIGINT, [e::BIGINT] from en union all select bk.qu, bk.re, bk.same, en.bf[bk.e]::BIGINT, list_prepend(en.bf[bk.e]::BIGINT, ms) from bk join en using (qu, re, same) where en.bf[bk.e] > 0),
     bc as (select en.qu, en.re, en.same, list_max(en.sc) sc, max_by(ms, len(ms)) ms from bk join en using (qu, re, same) group by en.qu, en.re, en.same, en.sc),

@@ -137,8 +137,8 @@ def short_reads(spark, d):
 PURGE = f"""with recursive {MREADS}, pu(read_id, m, k) as (
     select read_id, ms, 4 from mr
     union all
-    select read_id, case when at is null then m else list_concat(m[1 : at], m[at + 2 : len(m)]) end, case when at is null then k + 1 else 4 end
-    from (select read_id, m, k, list_min(list_filter(range(0, len(m) - k + 1), lambda i: m[i + 1] = m[i + k] and m[i + 1 : i + k] = list_reverse(m[i + 1 : i + k]))) at from pu where k < 20 and k <= len(m)))"""
+    select read_id, case when hit is null then m else list_concat(m[1 : hit], m[hit + 2 : len(m)]) end, case when hit is null then k + 1 else 4 end
+    from (select read_id, m, k, list_min(list_filter(range(0, len(m) - k + 1), lambda i: m[i + 1] = m[i + k] and m[i + 1 : i + k] = list_reverse(m[i + 1 : i + k]))) hit from pu where k < 20 and k <= len(m)))"""
 
 
 @query(f"{PURGE}, dn as (select read_id, m from pu where k >= 20 or k > len(m)) select read_id, coalesce(m, []) as minimizers from reads left join dn using (read_id)")

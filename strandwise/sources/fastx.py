@@ -78,6 +78,7 @@ class Part(InputPartition):
     path: str
     start: int = 0
     stop: int | None = None
+    fasta: bool = False
 
 
 def _opened(path: str):
@@ -85,10 +86,10 @@ def _opened(path: str):
     return system.open_input_file(where)
 
 
-def _begins(lines: list[bytes], at: int) -> bool:
-    """Whether a record of one line for each of its parts begins at ``lines[at]``."""
-    if lines[at][:1] == b">":
-        return True
+def _begins(lines: list[bytes], at: int, fasta: bool) -> bool:
+    """Whether a record begins at ``lines[at]``; one of FASTQ has four lines."""
+    if fasta:
+        return lines[at][:1] == b">"
     if lines[at][:1] != b"@" or len(lines) < at + 4:
         return False
     return lines[at + 2][:1] == b"+" and len(lines[at + 1].rstrip()) == len(lines[at + 3].rstrip())
@@ -105,11 +106,11 @@ def parts_of(number: int, path: str, split: int = SPLIT) -> list[Part]:
     first = next((i for i, x in enumerate(whole) if x[:1] in (b"@", b">")), None)
     fasta = first is not None and whole[first][:1] == b">"
     # Every record in sight must have four lines, or a range's first record couldn't be told.
-    simple = fasta or (first is not None and all(_begins(whole, i) for i in range(first, len(whole) - 3, 4)))
+    simple = fasta or (first is not None and all(_begins(whole, i, False) for i in range(first, len(whole) - 3, 4)))
     if size <= split or not simple:
         return [Part(number, 0, path)]
     edges = [*range(0, size, split), size]
-    return [Part(number, i, path, a, z) for i, (a, z) in enumerate(zip(edges, edges[1:]))]
+    return [Part(number, i, path, a, z, fasta) for i, (a, z) in enumerate(zip(edges, edges[1:]))]
 
 
 def lines_of(part: Part) -> Iterator[str]:
@@ -134,13 +135,13 @@ def lines_of(part: Part) -> Iterator[str]:
         skipping, inside = True, 0
         while ahead[0]:
             line = ahead[0]
-            begins = _begins(ahead, 0) if not inside else False
+            begins = _begins(ahead, 0, part.fasta) if not inside else False
             if begins:
                 if at >= part.stop:
                     return
                 skipping = False
                 # The four lines of FASTQ belong together, whatever they begin with.
-                inside = 4 if line[:1] == b"@" else 0
+                inside = 0 if part.fasta else 4
             inside = max(0, inside - 1)
             if not skipping:
                 yield line.decode("utf-8", "replace")

@@ -88,7 +88,7 @@ def test_choices_of_alignments(spark):
     rows = [(1, 0, 10, 5, 1), (1, 5, 15, 9, 2), (1, 15, 20, 1, 3), (1, 0, 4, 2, 4), (1, 5, 15, 8, 5), (None, 0, 9, 1, 6), (2, 3, 3, 1, 7), (3, 0, 5, None, 8)]
     df = spark.createDataFrame(rows, "k long, s int, e int, score int, i int")
     assert sorted((r["k"], r["i"]) for r in overlaps.disjoint(df, "k", "s", "e", "score", ["i"]).collect()) == [(1, 2), (1, 3), (1, 4), (3, 8)]
-    assert sorted(r["i"] for r in overlaps.disjoint(df, "k", "s", "e", "score", ["i"], 5).collect()) == [1, 2, 3, 8]
+    assert sorted(r["i"] for r in overlaps.disjoint(df, "k", "s", "e", "score", ["i"], 5).collect()) == [1, 2, 3, 4, 8]
     deep = spark.createDataFrame([(1, 0, 10, i, i) for i in range(5)] + [(1, 8, 12, 0, 9)], df.schema)
     assert sorted(r["i"] for r in overlaps.thinned(deep, "k", "s", "e", "score", ["i"], 2).collect()) == [3, 4, 9]
 

@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 
@@ -27,6 +28,26 @@ def test_fastx_round_trip(spark, tmp_path):
         fastx.manifest([str(tmp_path)])
 
 
+@pytest.mark.parametrize("kind", ["fastq", "fasta", "wrapped"])
+def test_plain_files_are_read_in_ranges(spark, tmp_path, kind):
+    rnd = random.Random(7)
+    want, lines = [], []
+    for i in range(60):
+        s = "".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 50)))
+        # Qualities that look like headers.
+        q = "".join(rnd.choice("@+>I!") for _ in s)
+        want.append((i, f"r{i} x", s, None if kind == "fasta" else q))
+        half = len(s) // 2
+        lines.append({"fastq": f"@r{i} x\n{s}\n+\n{q}\n", "fasta": f">r{i} x\n{s[:half]}\n{s[half:]}\n", "wrapped": f"@r{i} x\n{s[:half]}\n{s[half:]}\n+\n{q}\n"}[kind])
+    path = tmp_path / f"x.{kind}"
+    path.write_text("".join(lines))
+    for split in (1 << 20, 97, 400):
+        assert len(fastx.parts_of(0, str(path), split)) == (1 if kind == "wrapped" or split == 1 << 20 else -(-path.stat().st_size // split))
+        rows = fastx.scan(spark, [str(path)], split=split).orderBy("read_id").collect()
+        assert [tuple(r) for r in rows] == want
+    assert [r["read_id"] for r in fastx.scan(spark, [str(path), str(path)], 3, 97).orderBy("read_id").collect()] == list(range(6))
+
+
 def test_gfa_round_trip(spark, tmp_path):
     s = spark.createDataFrame([("u1", None, 10, 2), ("u2", "ACGT", 4, 7)], "name string, seq string, length long, depth long")
     links = spark.createDataFrame([("u1", False, "u2", True, 3), ("u2", False, "u1", True, 3)], "src string, src_rev boolean, dst string, dst_rev boolean, overlap int")
@@ -50,7 +71,23 @@ def test_command_writes_contigs_once(spark, tmp_path):
     out = str(tmp_path / "out")
     first = assembly.run_assembly(spark, [str(tmp_path / "r.fa")], out, p, most_k=4)
     assert first["n"] == 1 and first["size"] > 2000
-    assert assembly.run_assembly(spark, ["not read again"], out, p) == first
+    # Nothing is made again for the same inputs, and all of it for others.
+    made = sorted(p_.stat().st_mtime_ns for p_ in (tmp_path / "out").rglob("part-*"))
+    assert assembly.run_assembly(spark, [str(tmp_path / "r.fa")], out, p, most_k=4, with_graph=True) == first
+    assert set(made) <= {p_.stat().st_mtime_ns for p_ in (tmp_path / "out").rglob("part-*")}
+    saved = assembly.Assembly(spark, out)
+    assert saved.parameters() == p and {r["unitig"] for r in assembly.contig_paths(saved).collect()} <= {r["node"] for r in saved.passes().unitigs.collect()}
+    segments, links = gfa.read_gfa(spark, f"{out}/graph_k4.gfa")
+    bases = [r["seq"] for r in segments.collect()]
+    flip = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    assert bases and all(s in genome or flip(s) in genome for s in bases if s)
+    places = assembly.graph_places(spark.createDataFrame([(5, genome, None)], "read_id long, seq string, qual string"), saved.passes().unitigs, 4, p)
+    path = assembly.map_to_graph(places)
+    assert all(0 <= r["position"] < 0.2 for r in assembly.colours(places).collect()) and assembly.mapped_subgraph(path, saved.passes().unitigs, 4, p).count() >= 1
+    (tmp_path / "none.fa").write_text(">r\nACGT\n")
+    assert assembly.run_assembly(spark, [str(tmp_path / "none.fa")], out, p, most_k=4)["n"] == 0
+    with pytest.raises(FileNotFoundError):
+        assembly.run_assembly(spark, [str(tmp_path / "missing.fa")], out, p)
     with pytest.raises(ValueError):
         assembly.Parameters(kmer_size=17)
     with pytest.raises(ValueError):
