@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq
-from ..session import Scratch
+from ..session import Scratch, scoped
 from . import align, intervals, minimize, overlaps
 from . import kminmers as km
 
@@ -63,6 +63,7 @@ def without_low_complexity(contigs: DataFrame, score: float = 8, coverage: float
     return contigs.join(c, "contig").where(~bad).drop("max_score")
 
 
+@scoped
 def trim_overlaps(contigs: DataFrame, k: int) -> DataFrame:
     """Contigs ``contig, minimizers`` with ends trimmed that a contig at least as long has.
 
@@ -190,6 +191,7 @@ def dereplicated(contigs: DataFrame, matches: DataFrame, identity: float = 0.9,
     return joined.where(start < stop).withColumn("seq", F.substring("seq", start + 1, stop - start)).drop("left", "right")
 
 
+@scoped
 def mapped(queries: DataFrame, references: DataFrame, length: int = 15, density: float = 0.05, least: int = 3, fraction: float = minimize.REPETITIVE, itself: bool = False) -> DataFrame:
     """Where sequences ``id, seq`` lie on others: chains of common minimizer pairs, measured.
 
@@ -214,6 +216,7 @@ def mapped(queries: DataFrame, references: DataFrame, length: int = 15, density:
     return align.chain_alignments(found, sizes(q, "query"), length, sizes(r, "reference"))
 
 
+@scoped
 def self_overlaps(sequences: DataFrame, length: int = 15, density: float = 0.05, near: int = 50, least: int = 3) -> DataFrame:
     """Sequences ``id, seq`` whose end repeats their beginning: ``id, overlap`` in bases, up to ``near`` at either end."""
     rows = sequences.select(F.col("id").cast("long").alias("read_id"), "seq", F.lit(None).cast("string").alias("qual"))
@@ -233,6 +236,7 @@ def ends_without_cover(contigs: DataFrame, alignments: DataFrame, length: int =
     return joined.withColumn("seq", F.when(F.col("trim_start").isNull(), F.col("seq")).otherwise(F.substring("seq", F.col("trim_start") + 1, F.col("trim_end") - F.col("trim_start")))).drop("trim_start", "trim_end")
 
 
+@scoped
 def read_paths(contigs: DataFrame, mreads: DataFrame, least: int = 2) -> DataFrame:
     """Reads on contigs ``contig, minimizers`` in minimizer space: chains with the places of their anchors.
 
@@ -290,6 +294,7 @@ def _layout(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["contig", "seq"])
 
 
+@scoped
 def laid_out(contigs: DataFrame, mreads: DataFrame, reads: DataFrame) -> DataFrame:
     """Base sequences of contigs ``contig, minimizers, circular``: ``contig, seq``.
 
@@ -329,6 +334,7 @@ def window_pieces(contig_length: int, ref: np.ndarray, query: np.ndarray, same:
                 yield w, piece
 
 
+@scoped
 def polished(contigs: DataFrame, reads: DataFrame, length: int = 15, density: float = 0.1, window: int = 500, most: int = 100, rounds: int = 2) -> DataFrame:
     """Contigs ``contig, seq`` with bases settled by the reads' votes, window by window.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..session import Scratch, materialize, shuffle_width
+from ..session import Scratch, materialize, scoped, shuffle_width
 from . import regions
 from .skew import lookup_join
 
@@ -113,6 +113,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c[gone]), none, none, pa.array(c[up[gone]]), pa.array(off[gone])], names=names)
 
 
+@scoped
 def chain_places(chain: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     """Place of every element of linked lists ``c, next`` (null at an end): ``c, head, dist, circular``.
 
@@ -167,6 +168,7 @@ def _unitig_rows(scratch: Scratch, paths: DataFrame) -> DataFrame:
     return scratch.keep(paths.select(F.monotonically_increasing_id().alias("node"), "minimizers", "abundances", F.greatest(median(F.col("abundances")), F.lit(1.0)).alias("abundance"), "circular"))
 
 
+@scoped
 def compact(nodes: DataFrame, overlap: int, per_task: int = PER_TASK) -> DataFrame:
     """Merge all unbranched paths: ``node, minimizers, abundances, abundance, circular``.
 
@@ -225,6 +227,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]])], names=["a", "b"])
 
 
+@scoped
 def components(edges: DataFrame, rows: int, per_task: int = PER_TASK) -> DataFrame:
     """Smallest vertex connected with each: ``vertex, root``; a vertex that is its own root has no row.
 
@@ -318,6 +321,7 @@ def _states(overlap: int, longest: int, first: float, kinds: tuple[str, ...]):
 REGION = 2_000_000
 
 
+@scoped
 def states(nodes: DataFrame, overlap: int, longest: int, first: float = regions.FIRST_CUTOFF, kinds: tuple[str, ...] = ("state",), region: int = REGION, per_task: int = PER_TASK) -> DataFrame:
     """What becomes of a graph as its weakest nodes go: ``kind, cutoff, minimizers, abundances, abundance, circular``.
 
@@ -396,6 +400,7 @@ def simple_bubbles(nodes: DataFrame, edges: DataFrame, longest: int) -> DataFram
     return forward.withColumn("r", F.row_number().over(rank)).where("r > 1").select("node").distinct()
 
 
+@scoped
 def superbubbles(nodes: DataFrame, edges: DataFrame, overlap: int, longest: int) -> DataFrame:
     """Superbubbles, each from both its sides: ``source, exit, inner`` (codes ``2 node + rev``).
 
@@ -459,6 +464,7 @@ def _lost(longest: int, overlap: int):
     return run
 
 
+@scoped
 def lost_sides(nodes: DataFrame, edges: DataFrame, overlap: int, longest: int) -> DataFrame:
     """Nodes that collapsing a round's superbubbles removes: ``node``.
 
@@ -499,6 +505,7 @@ def without(nodes: DataFrame, removed: DataFrame) -> DataFrame:
     return nodes.join(removed.select("node"), "node", "left_anti")
 
 
+@scoped
 def simplify(nodes: DataFrame, overlap: int, longest: int, per_task: int = PER_TASK) -> DataFrame:
     """Remove bubbles, then tips, compacting after each, until nothing changes."""
     scratch = Scratch(nodes.sparkSession)
@@ -544,6 +551,7 @@ def progressive(nodes: DataFrame, overlap: int, longest: int, first: float = reg
     return states(nodes, overlap, longest, first, ("state",), region).drop("kind")
 
 
+@scoped
 def select_contigs(snapshots: DataFrame, k: int) -> DataFrame:
     """Contigs from the strictest snapshot down: unitigs whose abundance is twice the cutoff or more.
 
@@ -574,6 +582,7 @@ def select_contigs(snapshots: DataFrame, k: int) -> DataFrame:
     return ident.join(reduce(DataFrame.unionByName, taken), "contig", "left_semi")
 
 
+@scoped
 def neighbourhood(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` edges of ``sources`` (column ``node``): ``node, dist``."""
     scratch = Scratch(edges.sparkSession)
@@ -616,6 +625,7 @@ def oriented(number: Column, rev: Column) -> Column:
     return F.shiftleft(number, 1).bitwiseOR(rev.cast("long"))
 
 
+@scoped
 def abundant_neighbourhood(nodes: DataFrame, edges: DataFrame, sources: DataFrame, longest: int, overlap: int, least: float = 2.0, share: float = 0.5) -> DataFrame:
     """Nodes around ``sources`` (column ``node``) that may belong to the same sequence: ``node, source, dist``.
 

@@ -14,7 +14,7 @@ from ..functions import seq, stats
 from ..operators import align, graph, intervals, minimize, overlaps
 from ..operators import contigs as cleaning
 from ..operators import kminmers as km
-from ..session import Files, Scratch, materialize
+from ..session import Files, Scratch, materialize, scoped, tables_of_call
 from ..sources import fastx, gfa
 
 
@@ -76,6 +76,7 @@ def read_anchors(mreads: DataFrame, banned_fraction: float = minimize.REPETITIVE
     return materialize(overlaps.pair_rows(kept))
 
 
+@scoped
 def find_neighbours(mreads: DataFrame, p: Parameters | None = None, most: int = 20, least: int = 3) -> DataFrame:
     """``read_id, other``: for each read those among the ``most`` best at any of its minimizers.
 
@@ -111,6 +112,7 @@ def selected_reads(reads: DataFrame, p: Parameters) -> DataFrame:
     return purged
 
 
+@scoped
 def prepared_reads(reads: DataFrame, p: Parameters) -> DataFrame:
     """Minimizer reads ready for the graph: ``read_id, minimizers``."""
     mreads = materialize(selected_reads(reads, p))
@@ -155,6 +157,7 @@ def refined(solid: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
     return solid.join(best, "km", "left").select("km", found.alias("abundance"))
 
 
+@scoped
 def one_pass(sequences: DataFrame, k: int, p: Parameters, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Graph of one k: solid k-min-mers (refined), simplified unitigs, contigs."""
     nodes = graph.numbered(counted(sequences, k, p, previous))
@@ -177,6 +180,7 @@ class Passes:
     mreads: DataFrame
 
 
+@scoped
 def multi_k(reads: DataFrame, p: Parameters, most: int | None = None) -> Passes:
     """The passes of growing k.
 
@@ -228,6 +232,7 @@ def placed_minimizers(reads: DataFrame, p: Parameters) -> DataFrame:
     return joined.select("read_id", "minimizers", F.transform("pos", lambda x: F.element_at("positions", x + 1)).alias("start"), F.transform("pos", lambda x: F.element_at("positions", x + p.kmer_size + 1)).alias("stop"))
 
 
+@scoped
 def broken_contigs(contigs: DataFrame, unitigs: DataFrame, solid: DataFrame, mreads: DataFrame, k: int, p: Parameters) -> DataFrame:
     """Contigs ``contig, minimizers, abundance, circular`` cut where repeats aren't bridged by a read.
 
@@ -252,6 +257,7 @@ def broken_contigs(contigs: DataFrame, unitigs: DataFrame, solid: DataFrame, mre
     return scratch.keep(cut_.select(F.monotonically_increasing_id().alias("contig"), text.alias("minimizers"), "abundance", (F.col("circular") & ~F.coalesce("several", F.lit(False))).alias("circular")))
 
 
+@scoped
 def cleaned_contigs(contigs: DataFrame, unitigs: DataFrame, solid: DataFrame, mreads: DataFrame, k: int, p: Parameters) -> DataFrame:
     """Contigs in minimizer space without overlapping ends, broken at unbridged repeats."""
     told = materialize(contigs.select("contig", "minimizers", "abundance", "circular"))
@@ -259,6 +265,7 @@ def cleaned_contigs(contigs: DataFrame, unitigs: DataFrame, solid: DataFrame, mr
     return broken_contigs(trimmed.join(told.drop("minimizers"), "contig"), unitigs, solid, mreads, k, p)
 
 
+@scoped
 def base_contigs(contigs: DataFrame, reads: DataFrame, p: Parameters) -> DataFrame:
     """Contigs as bases: ``contig, seq, coverage, circular``.
 
@@ -297,6 +304,7 @@ def assemble(reads: DataFrame, p: Parameters, most_k: int | None = None) -> Data
     return finished(reads, multi_k(reads, p, most_k), p)
 
 
+@scoped
 def finished(reads: DataFrame, passes: Passes, p: Parameters) -> DataFrame:
     """The contigs of the passes, cleaned, as bases, filtered and numbered."""
     clean = cleaned_contigs(passes.contigs, passes.unitigs, passes.solid, passes.mreads, passes.k, p)
@@ -306,6 +314,7 @@ def finished(reads: DataFrame, passes: Passes, p: Parameters) -> DataFrame:
     return numbered.select("contig", seq.contig_header(F.col("contig"), F.col("length"), F.col("coverage"), F.col("circular")).alias("header"), "seq", "length", "coverage", "circular")
 
 
+@scoped
 def unitig_sequences(unitigs: DataFrame, reads: DataFrame, p: Parameters) -> DataFrame:
     """Unitigs ``node, minimizers`` as bases, where reads lie on them: ``node, seq``."""
     scratch = Scratch(reads.sparkSession)
@@ -366,7 +375,8 @@ class Assembly:
     def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         path = f"{self.out}/stages/{name}"
         if not self.files.exists(f"{path}/_SUCCESS"):
-            make().write.mode("overwrite").parquet(path)
+            with tables_of_call(self.spark):
+                make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     def parameters(self) -> Parameters:
@@ -384,9 +394,10 @@ class Assembly:
         if not self.files.exists(last):
             if make is None:
                 raise FileNotFoundError(f"{self.out} holds no finished passes")
-            made = make()
-            for name in PASS_TABLES:
-                self.stage(name, lambda: getattr(made, name))  # noqa: B023
+            with tables_of_call(self.spark):
+                made = make()
+                for name in PASS_TABLES:
+                    getattr(made, name).write.mode("overwrite").parquet(f"{self.out}/stages/{name}")
             self.files.write(last, json.dumps({"k": made.k}))
         k = json.loads(self.files.read(last))["k"]
         return Passes(k, *[self.spark.read.parquet(f"{self.out}/stages/{name}") for name in PASS_TABLES])

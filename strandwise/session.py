@@ -8,8 +8,13 @@ unset and the master is local (tests, notebooks) a temporary folder is made.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import fields, is_dataclass
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -70,8 +75,56 @@ def materialize(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).keep(df)
 
 
+#: Folders of the intermediate tables that are still there, oldest first.
+_MADE: list[str] = []
+
+
+def release(spark: SparkSession, since: int, keep: list[DataFrame]) -> None:
+    """Delete the intermediate tables made since then that none of ``keep`` reads."""
+    held = {name for df in keep for f in df.inputFiles() for name in re.findall(r"/(table-[0-9a-f]{32})/", f)} if len(_MADE) > since else set()
+    stay = [p for p in _MADE[since:] if os.path.basename(p) in held]
+    files = Files(spark)
+    for p in _MADE[since:]:
+        if p not in stay:
+            files.delete(p)
+    _MADE[since:] = stay
+
+
+def _frames(value: object) -> list[DataFrame]:
+    if isinstance(value, DataFrame):
+        return [value]
+    if isinstance(value, (tuple, list)):
+        return [f for v in value for f in _frames(v)]
+    return [f for x in fields(value) for f in _frames(getattr(value, x.name))] if is_dataclass(value) else []
+
+
+def scoped(make: Callable) -> Callable:
+    """Intermediate tables of a call go when it returns, but those its result reads."""
+
+    @wraps(make)
+    def run(*args, **options):
+        since = len(_MADE)
+        out = make(*args, **options)
+        frames = _frames(out)
+        if frames and len(_MADE) > since:
+            release(frames[0].sparkSession, since, frames)
+        return out
+
+    return run
+
+
+@contextmanager
+def tables_of_call(spark: SparkSession) -> Iterator[None]:
+    """All intermediate tables made inside go at its end, as their results are written elsewhere."""
+    since = len(_MADE)
+    try:
+        yield
+    finally:
+        release(spark, since, [])
+
+
 class Scratch:
-    """Intermediate parquet tables in the shared folder."""
+    """Intermediate parquet tables in the shared folder; see :func:`scoped` for how long they stay."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -80,6 +133,7 @@ class Scratch:
     def write(self, df: DataFrame) -> tuple[str, DataFrame]:
         path = os.path.join(self.folder, f"table-{uuid.uuid4().hex}")
         df.write.parquet(path)
+        _MADE.append(path)
         return path, self.spark.read.schema(df.schema).parquet(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -95,6 +149,8 @@ class Scratch:
     def drop(self, path: str) -> None:
         """Delete a table that nothing reads any more."""
         Files(self.spark).delete(path)
+        if path in _MADE:
+            _MADE.remove(path)
 
 
 class Files:
