@@ -308,7 +308,10 @@ def laid_out(contigs: DataFrame, mreads: DataFrame, reads: DataFrame) -> DataFra
     """
     paths = read_paths(contigs, mreads)
     letters = reads.select(F.col("read_id").alias("query"), F.upper("seq").alias("seq"))
-    rows = paths.select("query", "reference", "same_strand", "r_at", "q_at").join(mreads.select(F.col("read_id").alias("query"), "start", "stop"), "query").join(letters, "query")
+    # An anchor names the first of two minimizers; the last anchor's second one matches too.
+    ahead = F.element_at("q_at", -1) + F.when(F.col("same_strand"), 1).otherwise(-1)
+    paths = paths.select("query", "reference", "same_strand", F.concat("r_at", F.array(F.element_at("r_at", -1) + 1)).alias("r_at"), F.concat("q_at", F.array(ahead)).alias("q_at"))
+    rows = paths.join(mreads.select(F.col("read_id").alias("query"), "start", "stop"), "query").join(letters, "query")
     pieces = rows.select("reference", "same_strand", "r_at", "q_at", "start", "stop", "seq").mapInArrow(_pieces, PIECE)
     votes = pieces.where("j > i").groupBy("contig", "i", "j", "text").agg(F.count("*").alias("n"), F.min("lead").alias("lead"), F.min("tail").alias("tail"))
     best = votes.groupBy("contig", "i", "j").agg(F.min(F.struct((-F.col("n")).alias("m"), (-F.length("text")).alias("s"), "text", "lead", "tail")).alias("v"))

@@ -290,8 +290,11 @@ def base_contigs(contigs: DataFrame, reads: DataFrame, p: Parameters) -> DataFra
     twins = scratch.keep(cleaning.mapped(as_id(now, "contig"), as_id(now, "contig"), p.kmer_size, density, itself=True))
     matches = twins.select(F.col("query").alias("a"), F.col("reference").alias("b"), F.col("q_start").alias("a_start"), (F.col("q_end") + p.kmer_size).alias("a_end"), "identity")
     now = scratch.keep(cleaning.dereplicated(now, matches))
-    cover = cleaning.mapped(as_id(good, "read_id"), as_id(now, "contig"), p.kmer_size, density)
-    return cleaning.ends_without_cover(now, scratch.keep(cover), p.kmer_size).select("contig", "seq", "coverage", "circular")
+    # A ring has no ends.
+    lines = now.where(~F.col("circular"))
+    cover = scratch.keep(cleaning.mapped(as_id(good, "read_id"), as_id(lines, "contig"), p.kmer_size, density))
+    whole = cleaning.ends_without_cover(lines, cover, p.kmer_size).unionByName(now.where("circular"))
+    return whole.select("contig", "seq", "coverage", "circular")
 
 
 def assemble(reads: DataFrame, p: Parameters, most_k: int | None = None) -> DataFrame:
