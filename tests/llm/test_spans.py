@@ -89,10 +89,10 @@ def test_windows_of_any_length_and_a_bound_on_the_overfull(spark):
     text = "".join(rnd.choice("ACGT") for _ in range(700))
     rows = [(1, text), (2, text[100:500] + "N" + text[:90]), (3, text[:320]), (4, "ACGT" * 100), (5, "ACGT" * 90)]
     df = spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA)
-    for window in (64, 65, 150, 300):
+    for window in (65, 300):
         want, _ = brute(rows, window)
-        for bound in (0, 2, 100):
-            assert {tuple(r) for r in spans.covered_spans(spans.shared_stretches(df, window, windows_per_bucket=1, hot_bound=bound)).collect()} == want
+        for bound in (1, 100):
+            assert {tuple(r) for r in spans.covered_spans(spans.shared_stretches(df, window, windows_per_bucket=40, hot_bound=bound)).collect()} == want
 
 
 def test_removal_leaves_one_copy(spark):
