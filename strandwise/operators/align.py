@@ -435,12 +435,14 @@ def consensus(backbone: str, pieces: list[tuple[str, str]], trim: bool = True) -
 def window_consensus(windows: DataFrame, most: int = 100, trim: bool = True) -> DataFrame:
     """``contig_id, w, seq``: each window's consensus from its ``most`` best pieces.
 
-    ``windows``: ``contig_id, w, backbone, seq, qual, score``; ties by content.
+    ``windows``: ``contig_id, w, backbone, seq, qual, score``.  The best pieces are
+    those whose length is nearest the window's, then of the highest score; ties by
+    content.
     The best pieces are ranked in the engine, so a row holds at most ``most``.
     """
     from pyspark.sql import Window
 
-    rank = Window.partitionBy("contig_id", "w").orderBy(F.desc("score"), "seq", "qual")
+    rank = Window.partitionBy("contig_id", "w").orderBy(F.abs(F.length("seq") - F.length("backbone")), F.desc("score"), "seq", "qual")
     best = windows.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= most)
     rows = best.groupBy("contig_id", "w").agg(F.first("backbone").alias("backbone"), F.sort_array(F.collect_list(F.struct("_r", "seq", "qual"))).alias("p"))
 

@@ -216,6 +216,12 @@ def mapped(queries: DataFrame, references: DataFrame, length: int = 15, density:
     return align.chain_alignments(found, sizes(q, "query"), length, sizes(r, "reference"))
 
 
+def rewritten(contigs: DataFrame, valid: DataFrame) -> DataFrame:
+    """Contigs ``contig, seq`` with the letters of those that aren't ``valid`` (column ``contig``) emptied; every row stays."""
+    told = valid.select("contig").distinct().withColumn("_valid", F.lit(True))
+    return contigs.join(told, "contig", "left").withColumn("seq", F.when(F.col("_valid"), F.coalesce("seq", F.lit(""))).otherwise("")).drop("_valid")
+
+
 @scoped
 def self_overlaps(sequences: DataFrame, length: int = 15, density: float = 0.05, near: int = 50, least: int = 3) -> DataFrame:
     """Sequences ``id, seq`` whose end repeats their beginning: ``id, overlap`` in bases, up to ``near`` at either end."""
@@ -319,10 +325,18 @@ def laid_out(contigs: DataFrame, mreads: DataFrame, reads: DataFrame) -> DataFra
     return gathered.join(contigs.select("contig", "circular"), "contig").select("contig", "circular", "pieces").mapInArrow(_layout, "contig long, seq string")
 
 
-def window_pieces(contig_length: int, ref: np.ndarray, query: np.ndarray, same: bool, read: str, window: int, anchor: int) -> Iterator[tuple[int, str]]:
-    """A read's letters over each whole window its chain spans, cut at anchors by interpolation."""
+#: Mean quality that a piece of a read must have to count, where its qualities are known.
+LEAST_QUALITY = 10
+
+
+def window_pieces(contig_length: int, ref: np.ndarray, query: np.ndarray, same: bool, read: str, marks: str | None, window: int, anchor: int) -> Iterator[tuple[int, str, str | None]]:
+    """A read's letters and qualities over each whole window its chain spans, cut at anchors by interpolation.
+
+    Pieces shorter than half the window or of a mean quality below LEAST_QUALITY are left out.
+    """
     if same is False:
         read = read.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+        marks = marks[::-1] if marks else None
         query = len(read) - anchor - query
     order = np.argsort(ref, kind="stable")
     ref, query = ref[order], query[order]
@@ -332,47 +346,51 @@ def window_pieces(contig_length: int, ref: np.ndarray, query: np.ndarray, same:
         # Beyond the outermost anchors the read goes on letter by letter.
         qa, qb = (np.interp(x, ref, query) + min(0, x - ref[0]) + max(0, x - ref[-1]) for x in (start, stop))
         if start < stop and qa > -0.1 * window and qb < len(read) + 0.1 * window:
-            piece = read[max(0, int(round(qa))) : max(0, int(round(qb)))]
-            if len(piece) > 0.5 * (stop - start):
-                yield w, piece
+            a, z = max(0, int(round(qa))), max(0, int(round(qb)))
+            piece, quality = read[a:z], marks[a:z] if marks else None
+            good = not quality or sum(map(ord, quality)) >= (33 + LEAST_QUALITY) * len(quality)
+            if len(piece) > 0.5 * (stop - start) and good:
+                yield w, piece, quality
 
 
 @scoped
 def polished(contigs: DataFrame, reads: DataFrame, length: int = 15, density: float = 0.1, window: int = 500, most: int = 100, rounds: int = 2) -> DataFrame:
     """Contigs ``contig, seq`` with bases settled by the reads' votes, window by window.
 
-    Reads are chained to contigs by common minimizer pairs; a read's letters over a
-    window count for its best contig.  Windows no read covers stay as they are.
+    Reads ``read_id, seq`` (and ``qual``, where it is as long as seq) are chained to
+    contigs by common minimizer pairs; a read's letters over a window count for its
+    best contig, by their qualities.  Windows no read covers stay as they are.
     """
     scratch = Scratch(contigs.sparkSession)
     now = scratch.keep(contigs.select(F.col("contig").cast("long").alias("contig"), "seq"))
-    base = reads.select(F.col("read_id").cast("long").alias("read_id"), F.upper("seq").alias("seq"), F.lit(None).cast("string").alias("qual"))
+    marks = F.when(F.length("qual") == F.length("seq"), F.col("qual")) if "qual" in reads.columns else F.lit(None).cast("string")
+    base = reads.select(F.col("read_id").cast("long").alias("read_id"), F.upper("seq").alias("seq"), marks.alias("qual"))
     queries = scratch.keep(overlaps.pair_rows(minimize.minimizer_reads(base, length, density)))
     for _ in range(rounds):
         as_reads = now.select(F.col("contig").alias("read_id"), "seq", F.lit(None).cast("string").alias("qual"))
         hits = overlaps.anchors(queries, overlaps.pair_rows(minimize.minimizer_reads(as_reads, length, density)))
         gathered = hits.groupBy("query", "reference", "same_strand").agg(F.collect_list(F.struct("r_pos", "q_pos")).alias("hits")).where(F.size("hits") >= 3)
         best = overlaps.best_mapping(gathered.withColumn("n", F.size("hits")), "query", [F.desc("n"), F.asc("reference"), F.desc("same_strand")])
-        rows = best.join(base.select(F.col("read_id").alias("query"), F.col("seq").alias("read")), "query").join(now.select(F.col("contig").alias("reference"), F.length("seq").alias("size")), "reference")
+        rows = best.join(base.select(F.col("read_id").alias("query"), F.col("seq").alias("read"), F.col("qual").alias("marks")), "query").join(now.select(F.col("contig").alias("reference"), F.length("seq").alias("size")), "reference")
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 out = []
-                for contig, same, found, read, size in zip(*(b.column(i).to_pylist() for i in range(5))):
+                for contig, same, found, read, marks, size in zip(*(b.column(i).to_pylist() for i in range(6))):
                     ref, query = (np.array([h[key] for h in found], np.int64) for key in ("r_pos", "q_pos"))
                     order = np.lexsort((query, ref))
                     ref, query = ref[order], query[order]
                     score, members = align.chain(ref, query if same else -query)
                     if len(members) >= 3:
-                        out += [(contig, w, piece, score) for w, piece in window_pieces(size, ref[members], query[members], same, read, window, length)]
-                columns = list(zip(*out)) or [[], [], [], []]
-                kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["contig_id", "w", "seq", "score"])
+                        out += [(contig, w, piece, quality, score) for w, piece, quality in window_pieces(size, ref[members], query[members], same, read, marks, window, length)]
+                columns = list(zip(*out)) or [[]] * 5
+                kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["contig_id", "w", "seq", "qual", "score"])
 
-        pieces = rows.select("reference", "same_strand", "hits", "read", "size").mapInArrow(cut, "contig_id long, w int, seq string, score double")
+        pieces = rows.select("reference", "same_strand", "hits", "read", "marks", "size").mapInArrow(cut, "contig_id long, w int, seq string, qual string, score double")
         cells = now.select(F.col("contig").alias("contig_id"), "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("seq") - 1) / window).cast("int")))).alias("w"))
         backbone = cells.select("contig_id", "w", F.substring("seq", F.col("w") * window + 1, F.lit(window)).alias("backbone"))
-        voted = align.window_consensus(pieces.join(backbone, ["contig_id", "w"]).withColumn("qual", F.lit(None).cast("string")), most, trim=False)
+        voted = align.window_consensus(pieces.join(backbone, ["contig_id", "w"]), most, trim=False)
         whole = backbone.join(voted, ["contig_id", "w"], "left").select("contig_id", "w", F.coalesce("seq", "backbone").alias("t"))
         joined = whole.groupBy("contig_id").agg(F.sort_array(F.collect_list(F.struct("w", "t"))).alias("x"))
         now = scratch.keep(joined.select(F.col("contig_id").alias("contig"), F.concat_ws("", F.transform("x", lambda x: x["t"])).alias("seq")))

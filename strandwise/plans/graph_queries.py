@@ -519,7 +519,7 @@ SHOTS = f"sh as (select ms, (read_id % 7)::DOUBLE cutoff, len(ms)::DOUBLE abunda
 
 @query(f"""with recursive {MREADS}, {SHOTS}, fit as (select *, row_number() over (order by cutoff desc, ms) n from (select distinct * from sh where abundance >= cutoff * 2)),
           pt as (select n, least(w, list_reverse(w)) w from (select n, ms[i + 1 : i + {K}] w from (select n, ms, unnest(range(0, len(ms) - {K - 1})) i from fit))),
-          cf as (select f.n, coalesce(list(distinct o.n) filter (where o.n is not null), []) before from fit f left join pt p on p.n = f.n left join pt o on o.w = p.w and o.n < p.n group by f.n),
+          cf as materialized (select f.n, coalesce(list(distinct o.n) filter (where o.n is not null), []) before from fit f left join pt p on p.n = f.n left join pt o on o.w = p.w and o.n < p.n group by f.n),
           t(n, taken) as (select 0::BIGINT, []::BIGINT[] union all select cf.n, case when list_has_any(cf.before, taken) then taken else list_append(taken, cf.n) end from t join cf on cf.n = t.n + 1),
           ok as (select unnest(taken) n from t where n = (select max(n) from t))
           select cutoff, ms as minimizers, abundance from fit join ok using (n)""")
@@ -636,6 +636,26 @@ def low_complexity_contigs(spark, d):
     return cleaning.without_low_complexity(c).select(F.col("contig").alias("read_id"))
 
 
+@query("select read_id, case when read_id in (select ref_read_index from read_match where ref_read_index is not null) then coalesce(seq, '') else '' end as seq from reads")
+def rewrite_contigs(spark, d):
+    """Sequences with the letters of those that aren't a reference of a match emptied."""
+    c = table(spark, d, "reads").select(F.col("read_id").alias("contig"), "seq")
+    valid = table(spark, d, "read_match").where("ref_read_index is not null").select(F.col("ref_read_index").alias("contig"))
+    return cleaning.rewritten(c, valid).select(F.col("contig").alias("read_id"), "seq")
+
+
+NEAR = f"""{UNITIG_EDGES}, li as (select distinct src, dst from ue),
+    nb(node, source, dist, own) as (select minimizers, minimizers, 0::BIGINT, abundance from un union
+        select li.dst, nb.source, nb.dist + len(li.dst) - {K - 1}, nb.own from nb join li on li.src = nb.node join un on un.minimizers = li.dst where un.abundance > 2 and un.abundance >= 0.5 * nb.own and nb.dist + len(li.dst) - {K - 1} <= 40)"""
+
+
+@query(f"with recursive {NEAR} select node, source, min(dist)::INT as dist from nb group by all")
+def abundant_neighbors(spark, d):
+    """Unitigs of similar abundance within 40 minimizers of each."""
+    u = unitigs_of(spark, d).withColumn("node", F.col("unitig"))
+    return graph.abundant_neighbourhood(u, graph.oriented_edges(u, K - 1), u.select("node"), 40, K - 1)
+
+
 @query()
 def repetitive_contigs(spark, d):
     """Reads, as contigs, without those made of repeats, repeated ends cut."""
