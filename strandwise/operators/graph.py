@@ -349,6 +349,52 @@ def states(nodes: DataFrame, overlap: int, longest: int, first: float = regions.
     return near
 
 
+GROWN = "kind string, k int, cutoff double, minimizers array<bigint>, abundances array<bigint>, abundance double, circular boolean"
+
+
+def _grown(first_k: int, last_k: int, longest: Callable[[int], int]):
+    """:func:`regions.grown` of each region; rows ``region, minimizers, abundance`` come sorted by region, stretches of reads with null ``abundance``."""
+
+    def emit(rows: list) -> pa.RecordBatch:
+        kind, k, cutoff, unitigs = zip(*rows) if rows else ((), (), (), ())
+        m, a, c = zip(*((u[0], u[1], u[2]) for u in unitigs)) if rows else ((), (), ())
+        lists = [pa.array(v, pa.list_(pa.int64())) for v in (m, a)]
+        weights = [float(u[1][0]) if name == "solid" else regions.abundance_of(u) for name, u in zip(kind, unitigs)]
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(k, pa.int32()), pa.array(cutoff, pa.float64()), *lists, pa.array(weights, pa.float64()), pa.array(c, pa.bool_())], names=["kind", "k", "cutoff", "minimizers", "abundances", "abundance", "circular"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        solid, pieces, same, current, out = {}, [], {}, None, []
+        for b in batches:
+            for region, m, a in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if region != current:
+                    if solid:
+                        out += regions.grown(solid, pieces, first_k, last_k, longest)
+                    solid, pieces, same, current = {}, [], {}, region
+                    if len(out) > 2000:
+                        yield emit(out)
+                        out = []
+                m = tuple([same.setdefault(x, x) for x in m])
+                if a is None:
+                    pieces.append(m)
+                else:
+                    solid[m] = a
+        if solid:
+            out += regions.grown(solid, pieces, first_k, last_k, longest)
+        yield emit(out)
+
+    return run
+
+
+def grown(rows: DataFrame, n: int, first_k: int, last_k: int, longest: Callable[[int], int], region: int = REGION) -> DataFrame:
+    """The passes of growing k, component by component (:func:`regions.grown`): ``kind, k, cutoff, minimizers, abundances, abundance, circular``.
+
+    ``rows``, ``n`` of them: ``region, minimizers, abundance``, the solid k-min-mers of the
+    first k and, with null ``abundance``, the stretches of reads made of them.
+    """
+    width = shuffle_width(rows.sparkSession, n, region)
+    return rows.select("region", "minimizers", "abundance").repartition(width, "region").sortWithinPartitions("region").mapInArrow(_grown(first_k, last_k, longest), GROWN)
+
+
 def _far_states(nodes: DataFrame, overlap: int, longest: int, first: float, kinds: tuple[str, ...]) -> DataFrame:
     """:func:`states` of one component too large for a task."""
     scratch = Scratch(nodes.sparkSession)

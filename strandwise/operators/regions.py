@@ -9,7 +9,9 @@ doesn't depend on any order is removed, and the graph is compacted again.
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 Unitig = tuple[tuple[int, ...], tuple[int, ...], bool]
 
@@ -266,3 +268,108 @@ def chosen(shots: list[tuple[float, list[Unitig]]], k: int) -> list[tuple[float,
                 used |= windows
                 out.append((cutoff, u))
     return out
+
+
+def windows(path: tuple[int, ...], k: int) -> list[tuple[int, ...]]:
+    """Normalised k-min-mers of a sequence, in order."""
+    return [min(w, w[::-1]) for w in (path[i : i + k] for i in range(len(path) - k + 1))]
+
+
+def connected(solid: dict[tuple[int, ...], int], sequences: Iterable[tuple[int, ...]], k: int) -> Iterator[tuple[dict, set]]:
+    """Components of a graph of k-min-mers, each with the stretches of the sequences that lie in it.
+
+    Stretches of a single k-min-mer are left out.
+    """
+    ends = defaultdict(list)
+    sides = lambda m: (min(e, e[::-1]) for e in (m[:-1], m[1:]))
+    for m in solid:
+        for e in sides(m):
+            ends[e].append(m)
+    number, parts = {}, []
+    for start in solid:
+        if start in number:
+            continue
+        number[start], left, held = len(parts), [start], {}
+        while left:
+            m = left.pop()
+            held[m] = solid[m]
+            for e in sides(m):
+                # Whoever comes second finds nothing more here.
+                for other in ends.pop(e, ()):
+                    if other not in number:
+                        number[other] = len(parts)
+                        left.append(other)
+        parts.append((held, set()))
+    for s in sequences:
+        begin, last = 0, None
+        for i, w in enumerate([*windows(s, k), None]):
+            at = number.get(w)
+            if at is None or last is None:
+                if last is not None and i - begin > 1:
+                    piece = s[begin : i + k - 1]
+                    parts[last][1].add(min(piece, piece[::-1]))
+                begin, last = i, at
+    return iter(parts)
+
+
+#: First k whose contigs are set aside where they are too short for the next.
+SMALL_K = 8
+
+
+def grown(solid: dict[tuple[int, ...], int], sequences: Iterable[tuple[int, ...]], first_k: int, last_k: int, longest: Callable[[int], int]) -> list[tuple[str, int, float, Unitig]]:
+    """The passes of growing k over a component: rows ``kind, k, cutoff, unitig``.
+
+    ``solid``: its k-min-mers of ``first_k`` with their abundances; ``sequences``: the
+    stretches of reads that lie in it.  A k-min-mer of a later pass is solid if both
+    its parts are, so a component of one pass only falls apart in the next, and each
+    part goes on for itself.  ``graph``, ``contig``, ``solid``: what a part's last pass
+    leaves; ``short``: contigs of no more than one k-min-mer, from SMALL_K on;
+    ``first``: a unitig of the first pass, if it has any.
+    """
+    out, waiting = [], [(first_k, *part) for part in connected(solid, sequences, first_k)]
+    while waiting:
+        k, solid, sequences = waiting.pop()
+        shots = snapshots([(m, (a,), False) for m, a in solid.items()], k - 1, longest(k))
+        unitigs, contigs = shots[0][1], chosen(shots, k)
+        if k == first_k and unitigs:
+            out.append(("first", k, 0.0, unitigs[0]))
+        told: dict[tuple[int, ...], int] = {}
+        for _, u in contigs:
+            a = math.ceil(abundance_of(u))
+            for w in windows(u[0], k):
+                told[w] = max(told.get(w, 0), a if len(u[0]) == k else max(a, 2))
+        # A contig seen once makes its k-min-mers unknown again.
+        solid = solid | {w: 0 if a == 1 else a for w, a in told.items()}
+        deeper: dict[tuple[int, ...], int] = {}
+        if k < last_k:
+            for s in [*sequences, *(u[0] for _, u in contigs)]:
+                known = [solid.get(w, 1) for w in windows(s, k)]
+                for i in range(len(known) - 1):
+                    a = min(known[i], known[i + 1])
+                    if a > 1:
+                        w = s[i : i + k + 1]
+                        deeper[min(w, w[::-1])] = a
+        if deeper and _is_path(solid, unitigs, contigs, deeper, k):
+            # What is one path stays that path, with one abundance, until k exceeds it.
+            path, a = unitigs[0][0], next(iter(deeper.values()))
+            k, deeper = min(last_k, len(path)), {}
+            unitigs = [(path, (a,) * (len(path) - k + 1), False)]
+            contigs, solid = [(0.0, unitigs[0])], dict.fromkeys(windows(path, k), a)
+        if k >= SMALL_K:
+            out += [("short", k, t, u) for t, u in contigs if len(u[0]) <= k and abundance_of(u) > 1]
+        if deeper:
+            # Contigs count in the next pass alone; it has contigs of its own for the one after.
+            waiting += [(k + 1, *part) for part in connected(deeper, sequences, k + 1)]
+        else:
+            out += [("graph", k, 0.0, u) for u in unitigs]
+            out += [("contig", k, t, u) for t, u in contigs]
+            out += [("solid", k, 0.0, (m, (a,), False)) for m, a in solid.items()]
+    return out
+
+
+def _is_path(solid: dict, unitigs: list[Unitig], contigs: list[tuple[float, Unitig]], deeper: dict, k: int) -> bool:
+    """Whether a component is one unbranched path, which it has each k-min-mer of once, and the next pass has nothing else."""
+    if len(unitigs) != 1 or contigs != [(0.0, unitigs[0])] or unitigs[0][2]:
+        return False
+    own = windows(unitigs[0][0], k)
+    return len(own) == len(solid) == len(set(own)) and all(w != w[::-1] for w in own) and deeper.keys() == set(windows(unitigs[0][0], k + 1))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import seq, stats
-from ..operators import align, graph, intervals, minimize, overlaps
+from ..operators import align, graph, intervals, minimize, overlaps, regions
 from ..operators import contigs as cleaning
 from ..operators import kminmers as km
 from ..session import Files, Scratch, materialize, scoped, tables_of_call
@@ -65,9 +65,9 @@ class Parameters:
         """Minimizers that ``bp`` bases hold, at least those of 2.25 k-min-mers."""
         return int(max(bp * self.density, 2.25 * k))
 
-
-#: First k whose contigs are set aside where they are too short for the next.
-SMALL_K = 8
+    def longest(self, k: int) -> int:
+        """Minimizers of the longest bubble or tip that goes."""
+        return self.minimizers_of(min(self.max_bubble, self.max_tip), k)
 
 
 def read_anchors(mreads: DataFrame, banned_fraction: float = minimize.REPETITIVE) -> DataFrame:
@@ -160,10 +160,14 @@ def refined(solid: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
 @scoped
 def one_pass(sequences: DataFrame, k: int, p: Parameters, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Graph of one k: solid k-min-mers (refined), simplified unitigs, contigs."""
-    nodes = graph.numbered(counted(sequences, k, p, previous))
+    return graph_pass(graph.numbered(counted(sequences, k, p, previous)), k, p)
+
+
+@scoped
+def graph_pass(nodes: DataFrame, k: int, p: Parameters) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`one_pass`, from the k-min-mers as nodes."""
     solid = nodes.select(F.col("minimizers").alias("km"), F.col("abundances")[0].alias("abundance"))
-    longest = p.minimizers_of(min(p.max_bubble, p.max_tip), k)
-    found = materialize(graph.states(nodes, k - 1, longest, kinds=("graph", "contig")).withColumn("contig", F.monotonically_increasing_id()))
+    found = materialize(graph.states(nodes, k - 1, p.longest(k), kinds=("graph", "contig")).withColumn("contig", F.monotonically_increasing_id()))
     contigs = found.where("kind = 'contig'").drop("kind", "abundances")
     unitigs = found.where("kind = 'graph'").select(F.col("contig").alias("node"), "minimizers", "abundances", "abundance", "circular")
     return refined(solid, contigs, k), unitigs, contigs
@@ -180,39 +184,94 @@ class Passes:
     mreads: DataFrame
 
 
+def read_stretches(mreads: DataFrame, rows: DataFrame, marked: DataFrame, k: int) -> DataFrame:
+    """``region, minimizers``: the stretches of reads of two k-min-mers or more that all are nodes; these lie in one component.
+
+    ``rows``: the reads' k-min-mers; ``marked``: nodes with their ``region``.
+    """
+    known = rows.join(marked.select(F.col("minimizers").alias("km"), "region"), "km").select("read_id", "i", "region")
+    island = F.col("i") - F.row_number().over(Window.partitionBy("read_id").orderBy("i"))
+    spans = known.withColumn("island", island).groupBy("read_id", "island").agg(F.min("i").alias("i"), F.count("*").cast("int").alias("n"), F.min("region").alias("region")).where("n > 1")
+    return spans.join(mreads, "read_id").select("region", F.slice("minimizers", F.col("i") + 1, F.col("n") + k - 1).alias("minimizers")).distinct()
+
+
+@scoped
+def far_passes(nodes: DataFrame, stretches: DataFrame, last: int, p: Parameters) -> DataFrame:
+    """:func:`graph.grown` of components too large for a task, by rounds over the whole table.
+
+    Each pass counts the stretches of reads together with the contigs of the pass
+    before; a pass whose graph is empty is not taken.
+    """
+    rows, previous, now = [], None, None
+    for k in range(p.first_k, last + 1):
+        made = graph.numbered(nodes.select(F.col("minimizers").alias("km"), "abundance") if k == p.first_k else counted(now.select(F.monotonically_increasing_id().alias("read_id"), "minimizers"), k, p, previous))
+        solid, unitigs, contigs = graph_pass(made, k, p)
+        if unitigs.isEmpty():
+            break
+        told = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.lit(k).alias("k"), "cutoff", "minimizers", "abundances", "abundance", "circular")  # noqa: B023, E731
+        plain = unitigs.withColumn("cutoff", F.lit(0.0))
+        found = contigs.withColumn("abundances", F.lit(None).cast("array<bigint>"))
+        of_solid = solid.select(F.lit(0.0).alias("cutoff"), F.col("km").alias("minimizers"), F.array("abundance").alias("abundances"), F.col("abundance").cast("double").alias("abundance"), F.lit(False).alias("circular"))
+        final = [told(plain, "graph"), told(found, "contig"), told(of_solid, "solid")]
+        if k == p.first_k:
+            rows.append(told(plain.limit(1), "first"))
+        if k >= regions.SMALL_K:
+            rows.append(told(found.where((F.size("minimizers") <= k) & (F.ceil("abundance") > 1)), "short"))
+        previous, now = solid, stretches.select("minimizers").unionByName(contigs.select("minimizers"))
+    return materialize(reduce(DataFrame.unionByName, [*rows, *final])) if rows else nodes.sparkSession.createDataFrame([], graph.GROWN)
+
+
+#: Minimizers of a component (k-min-mers and stretches of reads) that one task takes through the passes; larger ones take rounds over the whole table.
+GROWN = 2_000_000
+
+
 @scoped
-def multi_k(reads: DataFrame, p: Parameters, most: int | None = None) -> Passes:
+def grown(mreads: DataFrame, last: int, p: Parameters, most: int = GROWN) -> DataFrame:
+    """All passes of growing k over reads ``read_id, minimizers``: rows of :func:`graph.grown`.
+
+    Whatever is solid in a later pass has only solid parts, so nothing links what
+    isn't linked in the graph of the first k: its components are dealt to tasks,
+    each of which takes them through all passes.
+    """
+    nodes = graph.numbered(counted(mreads, p.first_k, p))
+    marked = materialize(graph.node_components(nodes, p.first_k - 1, nodes.count()).select("region", "minimizers", F.col("abundances")[0].alias("abundance")))
+    pieces = read_stretches(mreads, km.kminmer_rows(mreads, p.first_k), marked, p.first_k)
+    scratch = Scratch(mreads.sparkSession)
+    _, work, n = scratch.counted(marked.unionByName(pieces.withColumn("abundance", F.lit(None).cast("long"))))
+    # At most one in ``most`` minimizers.
+    weight = work.groupBy("region").agg(F.sum(F.size("minimizers")).alias("n"))
+    large = [r[0] for r in weight.where(F.col("n") > most).select("region").collect()]
+    near = graph.grown(work.where(~F.col("region").isin(large)) if large else work, n, p.first_k, last, p.longest)
+    if large:
+        far = work.where(F.col("region").isin(large))
+        near = near.unionByName(far_passes(materialize(far.where("abundance is not null")), materialize(far.where("abundance is null")), last, p))
+    return scratch.keep(near.withColumn("id", F.monotonically_increasing_id()))
+
+
+@scoped
+def multi_k(reads: DataFrame, p: Parameters, most: int | None = None, region: int = GROWN) -> Passes:
     """The passes of growing k.
 
-    Each pass counts the reads together with the unitigs of the pass before, so
+    Each pass counts the reads together with the contigs of the pass before, so
     what a smaller k joined survives where reads are too short for the larger one.
     Contigs too short for the next k are set aside and come back at the end, unless
     a longer one has all but three of their k-min-mers.  A pass whose graph is empty
     ends the loop.
     """
     mreads = materialize(prepared_reads(reads, p).select("read_id", "minimizers"))
-    base = mreads.select("minimizers")
     last = k_limit(reads, p) if most is None else most
-    sequences, previous, result, small, short = base, None, None, [], None
-    for k in range(p.first_k, last + 1):
-        keyed = sequences.select(F.monotonically_increasing_id().alias("read_id"), "minimizers")
-        solid, unitigs, contigs = one_pass(keyed, k, p, previous)
-        if unitigs.isEmpty():
-            break
-        if short is not None:
-            small.append(short)
-        short = contigs.where((F.size("minimizers") <= k) & (F.ceil("abundance") > 1)) if k >= SMALL_K else None
-        result, previous = Passes(k, unitigs, contigs, solid, mreads), solid
-        sequences = base.unionByName(contigs.select("minimizers"))
-    if result is None:
-        spark = reads.sparkSession
-        nodes = spark.createDataFrame([], "node long, minimizers array<bigint>, abundances array<bigint>, abundance double, circular boolean")
-        empty = spark.createDataFrame([], "cutoff double, minimizers array<bigint>, abundance double, circular boolean, contig long")
-        return Passes(p.first_k, nodes, empty, spark.createDataFrame([], "km array<bigint>, abundance long"), mreads)
-    if not small:
-        return result
-    spare = materialize(reduce(DataFrame.unionByName, small).withColumn("contig", -1 - F.monotonically_increasing_id()))
-    return replace(result, contigs=result.contigs.unionByName(cleaning.without_contained(spare, result.contigs, p.first_k)))
+    found = grown(mreads, last, p, region)
+    told = found.agg(F.max(F.when(F.col("kind") == "graph", F.col("k"))).alias("k"), F.count_if(F.col("kind") == "first").alias("first")).first()
+    k = told["k"] if told["first"] else 0
+    of = lambda kind: found.where((F.col("kind") == kind) & (F.col("k") == k))
+    columns = ["cutoff", "minimizers", "abundance", "circular"]
+    unitigs = of("graph").select(F.col("id").alias("node"), "minimizers", "abundances", "abundance", "circular")
+    contigs = of("contig").select(*columns, F.col("id").alias("contig"))
+    solid = of("solid").select(F.col("minimizers").alias("km"), F.col("abundances")[0].alias("abundance"))
+    if not k:
+        return Passes(p.first_k, unitigs, contigs, solid, mreads)
+    small = found.where((F.col("kind") == "short") & (F.col("k") < k)).select(*columns, (-1 - F.col("id")).alias("contig"))
+    return Passes(k, unitigs, materialize(contigs.unionByName(cleaning.without_contained(small, contigs, p.first_k))), solid, mreads)
 
 
 def unitig_labels(rows: DataFrame, unitigs: DataFrame, k: int, id_col: str = "read_id") -> DataFrame:

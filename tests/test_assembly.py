@@ -75,3 +75,50 @@ def test_repetitive_minimizers_go_with_their_positions(spark, handed):
     counts = spark.createDataFrame([(i, 10 - i // 3) for i in range(12)], "minimizer long, n long")
     assert sorted(r["minimizer"] for r in minimize.repetitive_minimizers(counts, 5 / 12).collect()) == [0, 1, 2, 3, 4]
     assert minimize.repetitive_minimizers(counts.limit(0)).count() == 0
+
+
+def repeats_and_errors(seed):
+    """Reads ``read_id, minimizers`` of two sequences that share repeats, some with a minimizer changed."""
+    rnd = random.Random(seed)
+    alphabet = [rnd.randrange(1 << 40) for _ in range(60)]
+    part = lambda n: [rnd.choice(alphabet) for _ in range(n)]
+    r, s = part(7), part(11)
+    whole = [part(25) + r + part(20) + s + part(20) + r[::-1] + part(15) + s, part(18) + s + part(12) + r + r + part(12)]
+    rows = []
+    for i in range(90):
+        w = rnd.choice(whole)
+        a = rnd.randrange(len(w) - 12)
+        m = w[a : a + rnd.randrange(10, 28)]
+        if rnd.random() < 0.3:
+            m = m[:5] + [rnd.choice(alphabet)] + m[6:]
+        rows.append((i, m if rnd.random() < 0.5 else m[::-1]))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passes_by_component_are_those_of_the_whole_table(spark, seed):
+    m = spark.createDataFrame(repeats_and_errors(seed), "read_id long, minimizers array<long>")
+    p = assembly.Parameters(density=0.05)
+    row = lambda r: (r["kind"], r["k"], r["cutoff"], tuple(r["minimizers"]), r["abundance"], r["circular"])
+    # Components end at different k; what is alive at the last one counts, and the short contigs on the way.
+    near, far = ([row(r) for r in assembly.grown(m, 11, p, most).collect()] for most in (10**9, 0))
+    last = max(r[1] for r in far)
+    of = lambda rows: sorted(r for r in rows if (r[0] == "short" and r[1] < last) or (r[1] == last and r[0] in ("graph", "contig", "solid")))
+    assert last == 11 and {r[0] for r in of(near)} >= {"graph", "contig", "solid"}
+    assert of(near) == of(far)
+
+
+def test_passes_take_no_more_jobs_for_a_larger_k(spark):
+    m = spark.createDataFrame(repeats_and_errors(3), "read_id long, minimizers array<long>")
+    sc, jobs = spark.sparkContext, []
+    for last in (6, 20):
+        sc.setJobGroup(f"passes-{last}", "")
+        assembly.grown(m, last, assembly.Parameters(density=0.05)).count()
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"passes-{last}")))
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_no_reads_and_reads_of_nothing_solid_give_no_passes(spark):
+    for rows in ([], [(1, "ACGT" * 3, None)], [(1, genome(14, 900), None)]):
+        made = assembly.multi_k(spark.createDataFrame(rows, READS), assembly.Parameters(density=0.05, compress=False))
+        assert made.unitigs.isEmpty() and made.contigs.isEmpty() and made.k == 4
