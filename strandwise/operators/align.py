@@ -342,13 +342,18 @@ def corrected_reads(mreads: DataFrame, neighbours: DataFrame, first_k: int = 4,
 def edit_path(target: str, query: str) -> str:
     """CIGAR of a global alignment of least edits (``=``, ``X``, ``I`` of query letters, ``D``)."""
     t, q = np.frombuffer(target.encode(), np.uint8), np.frombuffer(query.encode(), np.uint8)
-    n, m = len(t), len(q)
+    # Equal letters at the end are always aligned.
+    short = min(len(t), len(q))
+    other = np.flatnonzero(t[len(t) - short :] != q[len(q) - short :])
+    same = short - 1 - int(other[-1]) if len(other) else short
+    n, m = len(t) - same, len(q) - same
+    t, q = t[:n], q[:m]
     table = np.empty((n + 1, m + 1), np.int32)
     table[0] = steps = np.arange(m + 1)
     for i in range(1, n + 1):
         above = np.minimum(table[i - 1, :-1] + (q != t[i - 1]), table[i - 1, 1:] + 1)
         table[i] = np.minimum.accumulate(np.concatenate(([i], above)) - steps) + steps
-    ops, i, j = [], n, m
+    ops, i, j = ["="] * same, n, m
     while i or j:
         if i and j and table[i, j] == table[i - 1, j - 1] + (t[i - 1] != q[j - 1]):
             i, j = i - 1, j - 1
@@ -394,7 +399,7 @@ def consensus(backbone: str, pieces: list[tuple[str, str]], trim: bool = True) -
     The backbone only decides ties.  With ``trim``, ends that fewer than half the
     pieces cover are cut, unless that leaves less than four fifths of the window.
     """
-    if not pieces:
+    if all(letters == backbone for letters, _ in pieces):
         return backbone
     n = len(backbone)
     votes = [defaultdict(float) for _ in range(n)]

@@ -375,12 +375,16 @@ def polished(contigs: DataFrame, reads: DataFrame, length: int = 15, density: fl
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                out = []
-                for contig, same, found, read, marks, size in zip(*(b.column(i).to_pylist() for i in range(6))):
-                    ref, query = (np.array([h[key] for h in found], np.int64) for key in ("r_pos", "q_pos"))
-                    order = np.lexsort((query, ref))
-                    ref, query = ref[order], query[order]
-                    score, members = align.chain(ref, query if same else -query)
+                out, hits = [], b.column(2)
+                first = hits.offsets.to_numpy().astype(np.int64)
+                first = first - first[0]
+                ref, query = (hits.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                pair = np.repeat(np.arange(b.num_rows), np.diff(first))
+                order = np.lexsort((query, ref, pair))
+                ref, query = ref[order], query[order]
+                strand = np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
+                scores, chains = align.chains(first, ref, np.where(strand[pair], query, -query))
+                for contig, same, read, marks, size, score, members in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), scores.tolist(), chains):
                     if len(members) >= 3:
                         out += [(contig, w, piece, quality, score) for w, piece, quality in window_pieces(size, ref[members], query[members], same, read, marks, window, length)]
                 columns = list(zip(*out)) or [[]] * 5

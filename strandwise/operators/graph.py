@@ -227,8 +227,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]])], names=["a", "b"])
 
 
+#: Edges (two ids) that one task reduces to stars at a time.
+EDGES_PER_TASK = 4_000_000
+
+
 @scoped
-def components(edges: DataFrame, rows: int, per_task: int = PER_TASK) -> DataFrame:
+def components(edges: DataFrame, rows: int, per_task: int = EDGES_PER_TASK) -> DataFrame:
     """Smallest vertex connected with each: ``vertex, root``; a vertex that is its own root has no row.
 
     ``edges``: ``a, b``, ``rows`` of them.  Every task first reduces its edges to
@@ -256,7 +260,7 @@ def components(edges: DataFrame, rows: int, per_task: int = PER_TASK) -> DataFra
     return now.select(F.col("a").alias("vertex"), F.col("b").alias("root"))
 
 
-def node_components(nodes: DataFrame, overlap: int, rows: int, per_task: int = PER_TASK) -> DataFrame:
+def node_components(nodes: DataFrame, overlap: int, rows: int, per_task: int = EDGES_PER_TASK) -> DataFrame:
     """``nodes``, ``rows`` of them, with ``region``: equal for nodes that are connected, however far.
 
     Nodes with a common end are connected; ends are known by a hash, and should two

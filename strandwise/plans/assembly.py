@@ -258,7 +258,7 @@ def multi_k(reads: DataFrame, p: Parameters, most: int | None = None, region: in
     a longer one has all but three of their k-min-mers.  A pass whose graph is empty
     ends the loop.
     """
-    mreads = materialize(prepared_reads(reads, p).select("read_id", "minimizers"))
+    mreads = prepared_reads(reads, p).select("read_id", "minimizers")
     last = k_limit(reads, p) if most is None else most
     found = grown(mreads, last, p, region)
     told = found.agg(F.max(F.when(F.col("kind") == "graph", F.col("k"))).alias("k"), F.count_if(F.col("kind") == "first").alias("first")).first()

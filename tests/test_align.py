@@ -149,3 +149,12 @@ def test_reads_on_contigs_need_two_anchors(spark):
     m = spark.createDataFrame([(1, [3, 4, 5]), (2, [6, 5, 4]), (3, [1, 2]), (4, [])], "read_id long, minimizers array<long>")
     got = {r["query"]: (r["same_strand"], r["r_at"], r["q_at"]) for r in contigs.read_paths(c, m).collect()}
     assert got == {1: (True, [2, 3], [0, 1]), 2: (False, [3, 4], [2, 1])}
+
+
+def test_equal_pieces_and_ends_change_no_alignment():
+    plain = lambda t, q: sum(n for n, op in align.cigar_ops(align.edit_path(t, q)) if op != "=")
+    assert align.edit_path("ACGT" * 200, "ACGT" * 200) == "800="
+    assert align.edit_path("AAX", "AY") == "1D1=1X" and align.edit_path("AAB", "AB") == "1D2=" and align.edit_path("", "AB") == "2I"
+    assert plain("ACGTTACG", "ACTTACG") == 1 and plain("ACG", "") == 3
+    assert align.consensus("ACGT", [("ACGT", ""), ("ACGT", "IIII")], False) == "ACGT"
+    assert align.consensus("ACGT", [("ACGT", ""), ("AGGT", ""), ("AGGT", "")], False) == "AGGT"
